@@ -7,7 +7,7 @@ on the order of addition; all else is exact.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +35,12 @@ def _words(spark: SparkSession, folder: str, **kwargs) -> DataFrame:
     return jobs.scored_words(tables.news(spark, folder), **kwargs).persist()
 
 
-def _ranked(words: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    return lift.ranked_words(words, lift.class_lift(words, by), by)
+def _lift(words: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return lift.class_lift(words, by).persist()
+
+
+def _ranked(words: DataFrame) -> DataFrame:
+    return lift.ranked_words(words, _lift(words))
 
 
 def _benchmark_words(spark: SparkSession, folder: str) -> DataFrame:
@@ -109,7 +113,7 @@ def ranked_words(spark, folder):
 @query
 def word_records(spark, folder):
     words = _words(spark, folder)
-    records = lift.word_records(words, lift.class_lift(words))
+    records = lift.word_records(words, _lift(words))
     line = F.array_join("sorted_words", " ").alias("sorted_words")
     return records.select("doc_id", "label", line, F.posexplode("raw_scores").alias("pos", "raw_score"))
 
@@ -125,7 +129,7 @@ def keyword_line(spark, folder):
 @query
 def mask_line(spark, folder):
     words = _words(spark, folder, skeleton=True)
-    return jobs.rewritten(words, "mask")
+    return jobs.rewritten(words, _lift(words), "mask")
 
 
 @query
@@ -137,14 +141,15 @@ def complement_text(spark, folder):
 @query
 def style_rows(spark, folder):
     words = _words(spark, folder, by=["split"], skeleton=True)
-    lines = jobs.rewritten(words, "mask", by=["split"])
+    lines = jobs.rewritten(words, _lift(words, ["split"]), "mask", by=["split"])
     return jobs.style_rows(tables.news(spark, folder), lines)
 
 
 @query
 def pair_lines(spark, folder):
     words = _words(spark, folder, by=["split"])
-    rows = jobs.style_rows(tables.news(spark, folder), jobs.rewritten(words, "keyword", by=["split"]))
+    lines = jobs.rewritten(words, _lift(words, ["split"]), "keyword", by=["split"])
+    rows = jobs.style_rows(tables.news(spark, folder), lines)
     return rows.select(
         "id", "label_name", "split", single_line_pair(clean_line(F.col("source")), clean_line(F.col("target"))).alias("line")
     )

@@ -17,6 +17,9 @@ from labeltext.fixed_values import (
 )
 
 
+MOST_WORDS = 1 << 30
+
+
 def _spaced(text: Column, *kinds: str) -> Column:
     spaced = F.concat(F.lit(" "), text, F.lit(" "))
     for kind, pattern, replacement in WORD_STEPS:
@@ -40,9 +43,9 @@ def split_words(text: Column) -> Column:
         .when(_contains_any(text, QUOTE_MARKS), _spaced(text, "always", "quote"))
         .otherwise(_spaced(text, "always"))
     )
-    words = F.filter(F.split(spaced, " +"), lambda w: w != "")
-    pieces = F.flatten(F.transform(words, lambda w: F.split(w, r"\\", -1)))
-    return F.when(F.contains(text, F.lit("\\")), pieces).otherwise(words)
+    # The text starts with a blank, so the first piece is none of its words.
+    pieces = F.split(F.rtrim(spaced), r" +|\\", -1)
+    return F.slice(pieces, 2, MOST_WORDS)
 
 
 def lower_words(words: Column, first: int | None = None) -> Column:

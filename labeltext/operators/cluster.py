@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -70,11 +71,11 @@ def nearest_centroid(
 
 def term_components(terms: list[str], model: LsaModel, spark) -> DataFrame:
     """``(term, component, weight)``: the SVD components as a table."""
-    import pandas as pd
-
-    n, dims = model.components.shape
-    table = pd.DataFrame({"term": terms, "weights": list(model.components)})
-    rows = spark.createDataFrame(table, "term string, weights array<double>")
+    n_terms, dims = model.components.shape
+    weights = pa.ListArray.from_arrays(
+        np.arange(n_terms + 1, dtype=np.int32) * dims, pa.array(model.components.ravel())
+    )
+    rows = spark.createDataFrame(pa.table({"term": pa.array(terms), "weights": weights}))
     return rows.select("term", F.posexplode("weights").alias("component", "weight"))
 
 

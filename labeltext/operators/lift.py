@@ -6,7 +6,8 @@ with n counting documents whose first ``max_len`` words contain w. ``by`` names
 further columns (such as ``split``) inside which all statistics are separate.
 
 The flow: ``document_words`` makes a narrow table (no text) that everything else
-reads, so callers persist it; ``word_counts`` pre-aggregates before its shuffle;
+reads, so callers persist it, and likewise the far smaller ``class_lift``;
+``word_counts`` pre-aggregates before its shuffle;
 ``join_counted`` brings the scores back without a hot key; one shuffle on
 ``doc_id`` then ranks each document's at most ``max_len`` words in place.
 """
@@ -168,7 +169,7 @@ def ranked_words(words: DataFrame, lift: DataFrame, by: Sequence[str] = ()) -> D
         .groupBy("doc_id")
         .agg(
             *[F.first(c).alias(c) for c in (*by, "label")],
-            F.array_sort(F.collect_list(one)).alias("ranked"),
+            F.sort_array(F.collect_list(one)).alias("ranked"),
         )
     )
     ranked = grouped.withColumn(

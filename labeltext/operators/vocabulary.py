@@ -55,7 +55,7 @@ def encode(rows: DataFrame, vocabulary: DataFrame, sequence: str, ids: str = "id
         found = join_counted(words, asked.join(vocabulary, "token", "left"), ["token"], "n")
     token_id = F.coalesce("token_id", F.lit(UNK_ID)).alias("token_id")
     ordered = found.select("doc_id", "pos", token_id).groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("_ids")
+        F.sort_array(F.collect_list(F.struct("pos", "token_id"))).alias("_ids")
     )
     empty = F.array().cast("array<int>")
     return (

@@ -46,15 +46,16 @@ def scored_words(
 
 def rewritten(
     words: DataFrame,
+    scores: DataFrame,
     task: str = "keyword",
     threshold: float = lift.THRESHOLD,
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """``(by.., doc_id, label, line)`` from ``scored_words``: keyword line or mask
-    line; any other task gives the bare mask."""
+    """``(by.., doc_id, label, line)`` from ``scored_words`` and their
+    ``class_lift``: keyword line or mask line; any other task gives the bare mask."""
     if task not in ("keyword", "mask"):
         return words.select(*by, "doc_id", "label", F.lit(MASK).alias("line"))
-    ranked = lift.ranked_words(words, lift.class_lift(words, by), by)
+    ranked = lift.ranked_words(words, scores, by)
     if task == "keyword":
         return rewrite.keyword_lines(ranked, threshold)
     return rewrite.mask_lines(words, ranked, threshold).select(*by, "doc_id", "label", "line")
@@ -94,8 +95,9 @@ def rewrite_corpus(
     """Keyword or mask rewrite of a labelled corpus ``(doc_id, text, label,
     split)``, statistics separate per split, written by class and split."""
     words = scored_words(rows, max_len, vocabulary, ["split"], skeleton=task == "mask")
-    with reused(words):
-        lines = rewritten(words, task, threshold, ["split"])
+    scores = lift.class_lift(words, ["split"])
+    with reused(words, scores):
+        lines = rewritten(words, scores, task, threshold, ["split"])
         writers.write_style_rows(style_rows(rows, lines, outputs, class_names), path, split_files)
 
 
