@@ -6,6 +6,10 @@ map-side pre-aggregation, and the formulas run on the counts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,63 +134,46 @@ def cluster_scores(rows: DataFrame, label: str = "label", cluster: str = "cluste
     )
 
 
-def silhouette_sample(
-    rows: DataFrame, sample_size: int | None = 2000, seed: int = 0
-) -> DataFrame:
+def silhouette_sample(rows: DataFrame, sample_size: int = 2000, seed: int = 0) -> DataFrame:
     """The rows a silhouette is taken on: the first ``sample_size`` in an order
     hashed from id and seed."""
-    if sample_size is None:
-        return rows
     order = F.md5(F.concat_ws("-", F.col("id").cast("string"), F.lit(str(seed))))
     return rows.orderBy(order, "id").limit(sample_size)
 
 
-def silhouette(
-    rows: DataFrame, sample_size: int = 2000, seed: int = 0
-) -> DataFrame:
+def silhouette(rows: DataFrame, sample_size: int = 2000, seed: int = 0) -> DataFrame:
     """Mean silhouette (Rousseeuw 1987), Euclidean, on a sample of
     ``(id, features array, cluster)``, as one row.
 
-    The sample is the operator's own bound: its at most ``sample_size`` vectors,
-    grouped by cluster, go to every task once, and each sampled row sums its
-    distances in place. No pair of rows is ever a row.
+    The sample is the operator's own bound: its at most ``sample_size`` vectors
+    are read once and shared with every task, and each sampled row sums its
+    distances to them by cluster. No pair of rows is ever a row.
     """
-    sample = silhouette_sample(
-        rows.select("id", "cluster", F.col("features").cast("array<double>").alias("features")),
-        sample_size,
-        seed,
-    )
-    members = sample.groupBy("cluster").agg(F.collect_list("features").alias("members"))
-    groups = members.agg(F.collect_list(F.struct("cluster", "members"))).scalar()
-
-    def distance(p: Column, q: Column) -> Column:
-        squares = F.zip_with(p, q, lambda x, y: (x - y) * (x - y))
-        return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, s: acc + s))
-
-    def total(p: Column, members: Column) -> Column:
-        return F.aggregate(members, F.lit(0.0), lambda acc, q: acc + distance(p, q))
-
-    sums = F.transform(
-        "_groups",
-        lambda g: F.struct(
-            g["cluster"].alias("cluster"),
-            F.size(g["members"]).cast("double").alias("n"),
-            total(F.col("features"), g["members"]).alias("sum"),
-        ),
-    )
-    spread = (
-        sample.repartition("id")
-        .withColumn("_groups", groups)
-        .select("id", "cluster", sums.alias("sums"))
-    )
-    own = F.filter("sums", lambda s: s["cluster"] == F.col("cluster"))[0]
-    others = F.filter("sums", lambda s: s["cluster"] != F.col("cluster"))
-    a = F.try_divide(own["sum"], own["n"] - 1.0)
-    b = F.array_min(F.transform(others, lambda s: s["sum"] / s["n"]))
-    score = F.when(
-        own["n"] > 1, F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0))
-    ).otherwise(0.0)
-    return spread.agg(F.avg(score).alias("silhouette"))
+    spark = rows.sparkSession
+    vectors = F.col("features").cast("array<double>").alias("features")
+    sample = silhouette_sample(rows.select("id", "cluster", vectors), sample_size, seed).toArrow()
+    if sample.num_rows == 0:
+        return spark.range(1).select(F.lit(None).cast("double").alias("silhouette"))
+    _, codes = np.unique(sample.column("cluster").to_numpy(), return_inverse=True)
+    points = sample.column("features").combine_chunks().flatten().to_numpy()
+    points = points.reshape(sample.num_rows, -1)
+    shared = spark.sparkContext.broadcast((points, codes, np.bincount(codes)))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, group, sizes = shared.value
+        for batch in batches:
+            scores = np.zeros(batch.num_rows)
+            for i, at in enumerate(batch.column("id").to_numpy()):
+                distances = np.sqrt(((every - every[at]) ** 2).sum(axis=1))
+                sums = np.bincount(group, weights=distances, minlength=len(sizes))
+                own = group[at]
+                others = np.delete(sums / sizes, own)
+                if sizes[own] > 1 and len(others):
+                    a, b = sums[own] / (sizes[own] - 1), others.min()
+                    scores[i] = (b - a) / max(a, b) if max(a, b) > 0 else 0.0
+            yield pa.RecordBatch.from_arrays([pa.array(scores)], ["s"])
+
+    return spark.range(sample.num_rows).mapInArrow(score, "s double").agg(F.avg("s").alias("silhouette"))
 
 
 def mean_and_deviation(runs: DataFrame) -> DataFrame:
