@@ -1,11 +1,20 @@
-"""Constant lookups and required values as Column expressions."""
+"""Constant lookups, required and shared values as Column expressions."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once per row, even where the body
+    uses it inside a lambda: the optimizer would otherwise move a projected
+    expression into the lambda and evaluate it for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def name_of(index: Column, names: list[str]) -> Column:
     """The name at a 0-based index; an index outside the list fails the job."""
     position = index.cast("int")

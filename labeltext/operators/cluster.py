@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labeltext.functions.lookups import let
 from labeltext.operators.features import LsaModel
 from labeltext.operators.metrics import cluster_scores, mean_and_deviation, silhouette
 from labeltext.operators.scale import small_table
@@ -54,19 +55,18 @@ def nearest_centroid(
     local = rows.sparkSession.createDataFrame(table, centroids.schema)
     every = local.agg(F.collect_list(F.struct("cluster", "center"))).scalar()
 
-    def distance(center):
-        squares = F.zip_with("_point", center, lambda x, y: (x - y) * (x - y))
+    def distance(point: Column, center: Column) -> Column:
+        squares = F.zip_with(point, center, lambda x, y: (x - y) * (x - y))
         return F.aggregate(squares, F.lit(0.0), lambda acc, s: acc + s)
 
-    ranked = F.transform(
-        "_every",
-        lambda c: F.struct(distance(c["center"]).alias("d"), c["cluster"].alias("cluster")),
-    )
-    return (
-        rows.withColumns({"_point": F.col("features").cast("array<double>"), "_every": every})
-        .withColumn("cluster", F.array_min(ranked)["cluster"])
-        .drop("_point", "_every")
-    )
+    def ranked(point: Column) -> Column:
+        return F.transform(
+            "_every",
+            lambda c: F.struct(distance(point, c["center"]).alias("d"), c["cluster"].alias("cluster")),
+        )
+
+    nearest = F.array_min(let(F.col("features").cast("array<double>"), ranked))
+    return rows.withColumn("_every", every).withColumn("cluster", nearest["cluster"]).drop("_every")
 
 
 def term_components(terms: list[str], model: LsaModel, spark) -> DataFrame:

@@ -19,6 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labeltext.functions.lookups import let
 from labeltext.functions.text import lower_words, split_words
 from labeltext.operators.corpus import drop_unlabelled
 from labeltext.operators.scale import join_counted, small_table
@@ -42,8 +43,11 @@ def document_words(
     )
     rows = cased.withColumn("words", lower_words(F.col("cased"), max_len))
     if skeleton:
-        kept = F.filter(
-            "cased", lambda w: w.isin(",", ".") | F.array_contains(F.col("words"), F.lower(w))
+        kept = let(
+            F.col("words"),
+            lambda words: F.filter(
+                "cased", lambda w: w.isin(",", ".") | F.array_contains(words, F.lower(w))
+            ),
         )
         rows = rows.withColumn("skeleton", kept)
     return rows.drop("cased")
@@ -204,10 +208,13 @@ def word_records(
         rows = rows.join(small_table(pad_scores(words, max_len, by)), [*by, "label"], "left")
     else:
         rows = rows.withColumn("pad_score", F.lit(-1.0))
-    scores = F.map_from_arrays("ranked.word", "ranked.score")
+    per_word = let(
+        F.map_from_arrays("ranked.word", "ranked.score"),
+        lambda scores: F.transform("words", lambda w: scores[w]),
+    )
     missing = F.lit(max_len) - F.size("words")
     raw = F.concat(
-        F.transform("words", lambda w: scores[w]),
+        per_word,
         F.when(missing > 0, F.array_repeat("pad_score", missing)).otherwise(
             F.array().cast("array<double>")
         ),
