@@ -32,7 +32,7 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _words(spark: SparkSession, folder: str, **kwargs) -> DataFrame:
-    return jobs.scored_words(tables.news(spark, folder), **kwargs).persist()
+    return lift.document_words(tables.news(spark, folder), **kwargs).persist()
 
 
 def _lift(words: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -198,7 +198,7 @@ def max_token_len(spark, folder):
 @query
 def vocab_class_lift(spark, folder):
     vocabulary = vocab.build_vocabulary(_benchmark_words(spark, folder))
-    words = _words(spark, folder, vocabulary=vocabulary)
+    words = vocab.encode(_words(spark, folder), vocabulary, "words").persist()
     scores = lift.class_lift(words).select("label", "token_id", "score")
     pads = lift.pad_scores(words).select("label", F.lit(0).alias("token_id"), F.col("pad_score").alias("score"))
     return scores.unionByName(pads)
@@ -207,7 +207,8 @@ def vocab_class_lift(spark, folder):
 @query
 def vocab_keywords(spark, folder):
     vocabulary = vocab.build_vocabulary(_benchmark_words(spark, folder))
-    return rewrite.keyword_lines(_ranked(_words(spark, folder, vocabulary=vocabulary)))
+    words = vocab.encode(_words(spark, folder), vocabulary, "words").persist()
+    return rewrite.keyword_lines(_ranked(words))
 
 
 # --- task lines ---------------------------------------------------------------

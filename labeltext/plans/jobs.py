@@ -32,18 +32,6 @@ def reused(*tables: DataFrame) -> Iterator[None]:
             table.unpersist()
 
 
-def scored_words(
-    rows: DataFrame,
-    max_len: int = lift.MAX_LEN,
-    vocabulary: DataFrame | None = None,
-    by: Sequence[str] = (),
-    skeleton: bool = False,
-) -> DataFrame:
-    """The narrow word table the rewrites start from (persist it)."""
-    words = lift.document_words(rows, max_len, by, skeleton)
-    return words if vocabulary is None else vocab.encode(words, vocabulary, "words")
-
-
 def rewritten(
     words: DataFrame,
     scores: DataFrame,
@@ -51,8 +39,8 @@ def rewritten(
     threshold: float = lift.THRESHOLD,
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """``(by.., doc_id, label, line)`` from ``scored_words`` and their
-    ``class_lift``: keyword line or mask line; any other task gives the bare mask."""
+    """``(by.., doc_id, label, line)`` from ``document_words`` (or their ``encode``)
+    and their ``class_lift``: keyword line or mask line; any other task gives the bare mask."""
     if task not in ("keyword", "mask"):
         return words.select(*by, "doc_id", "label", F.lit(MASK).alias("line"))
     ranked = lift.ranked_words(words, scores, by)
@@ -94,11 +82,15 @@ def rewrite_corpus(
 ) -> None:
     """Keyword or mask rewrite of a labelled corpus ``(doc_id, text, label,
     split)``, statistics separate per split, written by class and split."""
-    words = scored_words(rows, max_len, vocabulary, ["split"], skeleton=task == "mask")
-    scores = lift.class_lift(words, ["split"])
-    with reused(words, scores):
-        lines = rewritten(words, scores, task, threshold, ["split"])
-        writers.write_style_rows(style_rows(rows, lines, outputs, class_names), path, split_files)
+    by = ["split"]
+    words = lift.document_words(rows, max_len, by, skeleton=task == "mask")
+    keyed = words if vocabulary is None else vocab.encode(words, vocabulary, "words")
+    with reused(words), reused(keyed):
+        scores = lift.class_lift(keyed, by)
+        with reused(scores):
+            lines = rewritten(keyed, scores, task, threshold, by)
+            pairs = style_rows(rows, lines, outputs, class_names)
+            writers.write_style_rows(pairs, path, split_files)
 
 
 def export_lines(
