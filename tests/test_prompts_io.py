@@ -7,7 +7,8 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from catalog import tables
-from labeltext.operators import corpus, prompts
+from labeltext.operators import corpus, lift, prompts, rewrite
+from labeltext.operators import vocabulary as vocab
 from labeltext.plans import jobs
 from labeltext.sources import readers, writers
 
@@ -178,3 +179,19 @@ def test_line_table(spark, small, tmp_path):
     writers.write_line_table(lines, str(tmp_path / "t"))
     back = spark.read.parquet(str(tmp_path / "t")).select(lines.columns)
     assert sorted(rows(back)) == sorted(rows(lines))
+
+
+def test_rewrite_corpus_with_vocabulary(spark, small, tmp_path):
+    listed = spark.createDataFrame([("the", 0), ("of", 1), ("le", 2)], "token string, at int")
+    vocabulary = vocab.build_vocabulary(listed, "at")
+    rows_in = tables.news(spark, small)
+    jobs.rewrite_corpus(rows_in, str(tmp_path), vocabulary=vocabulary)
+    words = vocab.encode(lift.document_words(rows_in, by=["split"]), vocabulary, "words")
+    ranked = lift.ranked_words(words, lift.class_lift(words, ["split"]), ["split"])
+    want = sorted(
+        line
+        for r in rewrite.keyword_lines(ranked).collect()
+        for line in [r.line] * (2 if r.split == "test" else 1)
+    )
+    parts = text_files(tmp_path / "source")
+    assert sorted(line for p in parts.values() for x in p for line in x) == want
