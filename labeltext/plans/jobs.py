@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labeltext.fixed_values import KEYWORD_SEPARATOR, MASK, NEWS_CLASSES
+from labeltext.fixed_values import MASK, NEWS_CLASSES
 from labeltext.functions.lookups import name_of
 from labeltext.operators import classify, cluster, corpus, features, lift, prompts, rewrite
 from labeltext.operators import vocabulary as vocab
