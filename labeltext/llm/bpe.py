@@ -33,7 +33,7 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from tokenizers import pre_tokenizers
+from tokenizers import Tokenizer, pre_tokenizers
 
 from labeltext.llm.common import ragged, slices
 
@@ -131,8 +131,9 @@ class Vocabulary:
             tokens[i] = token.encode()
         self.tokens = pa.array(tokens, pa.binary())
 
-    def merge(self, symbols: list[int]) -> list[int]:
-        """The symbols of one piece after all merges, best rank and leftmost first."""
+    def merged(self, piece: str) -> list[int]:
+        """The ids of one piece after all merges, best rank and leftmost first."""
+        symbols = [self.byte_ids[b] for b in piece.encode()]
         merges = self.merges
         n = len(symbols)
         if n < 2:
@@ -165,12 +166,29 @@ class Vocabulary:
         return [s for s in symbols if s >= 0]
 
 
-class Encoder(dict):
-    """Encodes texts; as a dict, from a piece to its place in a table of ids."""
+class LibraryMerges:
+    """The same ids of a piece from the tokenizers library, for those who only need ids."""
 
     def __init__(self, content: bytes):
+        self.model = Tokenizer.from_str(content.decode()).model
+        self.letters = dict(enumerate(byte_letters()))
+
+    def __call__(self, piece: str) -> list[int]:
+        letters = piece.encode().decode("latin-1").translate(self.letters)
+        return [token.id for token in self.model.tokenize(letters)]
+
+
+class Encoder(dict):
+    """Encodes texts; as a dict, from a piece to its place in a table of ids.
+
+    Pieces are merged by the priority queue above or, with ``library``, by the
+    tokenizers library, which gives the same ids.
+    """
+
+    def __init__(self, content: bytes, library: bool = False):
         super().__init__()
         self.vocabulary = Vocabulary(content)
+        self.merged = LibraryMerges(content) if library else self.vocabulary.merged
         self.pieces = Splitter()
         added = sorted(self.vocabulary.added, key=len, reverse=True)
         self.added = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
@@ -187,8 +205,7 @@ class Encoder(dict):
 
     def __missing__(self, piece: str) -> int:
         at = self[piece] = len(self.starts) - 1
-        byte_ids = self.vocabulary.byte_ids
-        self.ids.extend(self.vocabulary.merge([byte_ids[b] for b in piece.encode()]))
+        self.ids.extend(self.merged(piece))
         self.starts.append(len(self.ids))
         return at
 
@@ -222,8 +239,8 @@ class Encoder(dict):
 
 
 @lru_cache(maxsize=2)
-def encoder(content: bytes) -> Encoder:
-    return Encoder(content)
+def encoder(content: bytes, library: bool = False) -> Encoder:
+    return Encoder(content, library)
 
 
 def shipped(spark: SparkSession, path: str) -> Broadcast:
@@ -233,10 +250,10 @@ def shipped(spark: SparkSession, path: str) -> Broadcast:
 
 
 def encoded(
-    batches: Iterator[pa.RecordBatch], content: bytes, key: str, text: str
+    batches: Iterator[pa.RecordBatch], content: bytes, key: str, text: str, library: bool = False
 ) -> Iterator[pa.RecordBatch]:
     """Batches (key, ids) of batches that hold ``key`` and ``text``."""
-    coder = encoder(content)
+    coder = encoder(content, library)
     for whole in batches:
         for batch in slices(whole, text):
             ids, at = coder.encode(batch.column(text).to_pylist())

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,8 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def id_bucket(doc_id: Column | str, buckets: int) -> Column:
     """crc32 of the id as text, modulo ``buckets``: a split that stays the same."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id) % buckets
+    column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.crc32(column.cast("string").cast("binary")) % buckets
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -89,15 +89,15 @@ def least_of_tree(parent: np.ndarray) -> np.ndarray:
         parent = up
 
 
-def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest member of each of ``0..n-1``'s component under edges a-b."""
-    label = np.arange(n)
+def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Component labels ``label`` (each the smallest member) after edges a-b join them."""
     while len(a):
         la, lb = label[a], label[b]
         apart = la != lb
         if not apart.any():
             break
         a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
+        label = label.copy()
         np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
         label = least_of_tree(label)
     return label
@@ -110,23 +110,24 @@ def components(edges: DataFrame) -> DataFrame:
     node that an edge names; no edges give no rows. Alternating large and small
     stars: each round replaces the edges by as many or fewer, and O(log n) rounds
     leave one star per component. Every round is checkpointed, so its lineage is
-    one step long. The minima are counted map-side, and a hub's edges meet a
-    single row of minima, a join that adaptive execution can split.
+    one step long. Minima are combined map-side, and a hub's edges meet a single
+    row of minima, in a join that adaptive execution can split.
     """
     now = checkpointed(_proper(edges.select("a", "b")))
-    while True:
+    state = _digest(now)
+    while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = checkpointed(_proper(large))
         lower = checkpointed(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = checkpointed(_proper(small.unionByName(lower.withColumnRenamed("m", "b"))))
-        if _same(now, small):
+        now = checkpointed(_proper(small.unionByName(lower.withColumnRenamed("m", "b"))))
+        before, state = state, _digest(now)
+        if before == state:
             break
-        now = small
-    members = small.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    roots = small.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    members = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return members.unionByName(roots)
 
 
@@ -136,14 +137,7 @@ def _proper(edges: DataFrame) -> DataFrame:
     return down.where("a <> b").distinct()
 
 
-def _same(left: DataFrame, right: DataFrame) -> bool:
-    """Whether two edge tables agree, by count and by sums of two hashes of their rows."""
-    def digest(df: DataFrame):
-        hashes = [F.xxhash64("a", "b", F.lit(salt)).cast("decimal(38,0)") for salt in (1, 2)]
-        return df.agg(F.count("*"), *[F.sum(h) for h in hashes]).first()
-
-    return digest(left) == digest(right)
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda x, y: x & y, conditions)
+def _digest(edges: DataFrame) -> tuple:
+    """Number of rows and sums of two hashes of them: equal for equal tables."""
+    hashes = [F.sum(F.xxhash64("a", "b", F.lit(salt)).cast("decimal(38,0)")) for salt in (1, 2)]
+    return tuple(edges.agg(F.count("*"), *hashes).first())

@@ -222,7 +222,7 @@ def token_pieces(
     schema = T.StructType([*fields, T.StructField("ids_crc32", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in cut(bpe.encoded(batches, content.value, key, text), capacity, key, end_id):
+        for batch in cut(bpe.encoded(batches, content.value, key, text, library=True), capacity, key, end_id):
             yield batch.select(schema.names)
 
     return narrow.mapInArrow(run, schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labeltext.llm import bpe, packing
+from labeltext.llm import bpe, packing, simhash
 from labeltext.llm.common import documents
 
 SEQUENCE_TOKENS = 2048
@@ -40,9 +40,15 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, folder), words=3, distance=3)
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pattern_packing": op1_pattern_packing,
     "op2_bpe": op2_bpe,
+    "op3_simhash": op3_simhash,
 }
 
 ORACLES: dict[str, str] = {}
