@@ -45,8 +45,8 @@ PLAIN_BYTES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 # Below this code point all Unicode versions agree, and the classes stay small.
 NEAR = 0x558
 
-MOST_PIECES = 300_000
-MOST_IDS = 3_000_000
+MOST_PIECES = 500_000
+MOST_IDS = 5_000_000
 
 
 def byte_letters() -> list[str]:

@@ -231,9 +231,10 @@ def token_pieces(
 def pack_pieces(pieces: DataFrame, capacity: int, order: list[str], pattern_docs: int = 3) -> DataFrame:
     """``pieces`` (with a column ``length``) plus ``sequence_id`` and ``offset``.
 
-    Only narrow columns should come in: they are range-partitioned by length and
-    ``order``, and checkpointed, so that numbers never change under a retry.
+    Only narrow columns should come in: they are checkpointed, range-partitioned
+    by length and ``order`` and checkpointed again, so numbers never change under a retry.
     """
+    pieces = checkpointed(pieces)  # read three times: counts, range bounds, order
     counts = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most capacity rows
     histogram = np.zeros(capacity + 1, np.int64)
     for length, n in counts:
