@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labeltext.llm import bpe, packing, simhash
-from labeltext.llm.common import documents
+from labeltext.llm import bpe, exact, packing, simhash, toxicity
+from labeltext.llm.common import documents, id_bucket
 
 SEQUENCE_TOKENS = 2048
 
@@ -45,10 +45,42 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def labels(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/labels.parquet")
+
+
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    train = "crc32(cast(cast(doc_id AS string) AS binary)) % 5 <> 0"
+    model = toxicity.fit(*toxicity.labelled_sample(docs, labels(spark, folder), "toxic", train, toxicity.FIT_TEXTS))
+    held_out = F.coalesce(id_bucket("doc_id", 5) == 0, F.lit(False))
+    return toxicity.scores(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def op8_exact_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return exact.groups(documents(spark, folder), keep="max")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pattern_packing": op1_pattern_packing,
     "op2_bpe": op2_bpe,
     "op3_simhash": op3_simhash,
+    "op7_toxicity": op7_toxicity,
+    "op8_exact_groups": op8_exact_groups,
 }
 
-ORACLES: dict[str, str] = {}
+OP8_SQL = """
+WITH t AS (
+    SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))
+        AS text_sha256
+    FROM documents
+), g AS (
+    SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text_sha256
+)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
+FROM t JOIN g USING (text_sha256)
+"""
+
+ORACLES: dict[str, str] = {"op8_exact_groups": OP8_SQL}

@@ -10,14 +10,15 @@ these vectors scores a sentence. A text has the score of its worst sentence.
 
 Fitting works on a bounded sample of labelled texts (``FIT_TEXTS`` per class,
 distinct texts, by a hash of the id) on the driver. Landmarks are the words that
-cover the toxic texts greedily while being rare in clean ones, and frequent other
-words. Labelled sentences come from the texts' labels: every sentence of a clean
+cover the toxic texts greedily or are in most of them, and are rare in clean ones,
+but for those too like another. Labelled sentences come from the texts' labels: every sentence of a clean
 text is clean; of a toxic text the sentence that names a covering word, later the
 one that scores highest, is toxic, the others are left out.
 
 Scoring runs in the rows' partitions: every distinct word of a task is scored
-once, a text costs table lookups. A word that shares no three letters with a
-toxic landmark, adjacent or with one letter between, has kernel 0 with all. Runs
+once, a text costs table lookups. The kernel of a word and a landmark is computed
+if they share three telling letters (adjacent or with one letter between; triples
+that clean words are full of tell nothing) and taken as 0 else. A word counts once a sentence. Runs
 of single letters ("i d i o t") count as one more word, longer words than 48
 letters as overlapping windows.
 
@@ -43,7 +44,7 @@ from pyspark.sql import types as T
 from labeltext.llm.common import slices
 
 FIT_TEXTS = 1500
-COVERING, OTHERS = 48, 8
+COVERING, MOST_LANDMARKS, ALIKE = 64, 64, 0.55
 ORDER, DECAY, POWER = 3, 0.6, 3
 LONGEST = 48
 MOST_WORDS = 200_000
@@ -93,8 +94,8 @@ def kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
 class Landmarks:
     """Landmark words with what scoring a word against them needs."""
 
-    words: list[str]
-    toxic: int  # the first so many are toxic
+    words: list[str]  # at most 64
+    clean: list[str]  # words of clean texts
     spelled: np.ndarray = field(init=False)
     own: np.ndarray = field(init=False)
     whiten: np.ndarray = field(init=False)
@@ -103,15 +104,28 @@ class Landmarks:
     def __post_init__(self):
         self.spelled = letters(self.words)
         self.own = np.maximum(kernel(self.spelled, self.spelled), 1e-12)
-        self.known = np.zeros(CODES**3, bool)
-        for triple in self._triples(letters(self.words[: self.toxic]), ((0, 1, 2),)):
-            self.known[triple[triple >= 0]] = True
+        self.known = self._telling()
         self.whiten = np.eye(len(self.words))
-        gram = self.similar(self.words, near_only=False)
+        gram = word_likeness(self.words, self.words) ** POWER
         values, vectors = np.linalg.eigh(gram)
         kept = values > 1e-4
         self.whiten = vectors[:, kept] / np.sqrt(values[kept])
 
+    def _telling(self) -> np.ndarray:
+        """A bit per landmark for each letter triple: set for those of its triples
+        that less than 1 % of clean words have, its two rarest at least."""
+        usual = np.zeros(CODES**3)
+        for triple in self._triples(letters(self.clean or [""]), ((0, 1, 2),)):
+            usual += np.bincount(triple[triple >= 0], minlength=CODES**3)
+        known = np.zeros(CODES**3, np.uint64)
+        for number, word in enumerate(self.words):
+            for triple in self._triples(letters([word]), ((0, 1, 2),)):
+                own = np.unique(triple[triple >= 0])
+                own = own[np.argsort(usual[own], kind="stable")]
+                own = own[: max(2, int((usual[own] < 0.01 * len(self.clean)).sum()))]
+                known[own] |= np.uint64(1 << number)
+        return known
+
     @staticmethod
     def _triples(spelled: np.ndarray, strides) -> Iterator[np.ndarray]:
         codes = np.where(spelled < 0, -1, spelled % CODES)
@@ -122,33 +136,44 @@ class Landmarks:
                 packed = (parts[0] * CODES + parts[1]) * CODES + parts[2]
                 yield np.where(np.minimum(np.minimum(*parts[:2]), parts[2]) < 0, -1, packed)
 
-    def near(self, spelled: np.ndarray) -> np.ndarray:
-        found = np.zeros(len(spelled), bool)
+    def near(self, spelled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (row, landmark) that share a telling triple."""
+        found = np.zeros(len(spelled), np.uint64)
         for triple in self._triples(spelled, ((0, 1, 2), (0, 2, 3), (0, 1, 3), (0, 2, 4))):
-            found |= (self.known[np.maximum(triple, 0)] & (triple >= 0)).any(axis=1)
-        return found
-
-    def similar(self, words: list[str], near_only: bool = True) -> np.ndarray:
-        """Normalised kernel to the power POWER of each word with each landmark."""
+            hits = np.where(triple >= 0, self.known[np.maximum(triple, 0)], np.uint64(0))
+            found |= np.bitwise_or.reduce(hits, axis=1)
+        rows = np.flatnonzero(found)
+        bits = (found[rows, None] >> np.arange(len(self.words), dtype=np.uint64)) & np.uint64(1)
+        row, landmark = np.nonzero(bits)
+        return rows[row], landmark
+
+    def similar(self, words: list[str]) -> np.ndarray:
+        """Normalised kernel to the power POWER of each word with each landmark near it."""
         out = np.zeros((len(words), len(self.words)))
         order = np.argsort([len(w) for w in words], kind="stable")
-        for start in range(0, len(order), 256):
-            rows = order[start : start + 256]
+        for start in range(0, len(order), 1024):
+            rows = order[start : start + 1024]
             spelled = letters([words[i] for i in rows])
-            if near_only:
-                hit = self.near(spelled)
-                rows, spelled = rows[hit], spelled[hit]
-                if not len(rows):
-                    continue
-            own = np.maximum(kernel(spelled, spelled), 1e-12)
-            cross = kernel(spelled[:, None, :], self.spelled[None])
-            out[rows] = (cross / np.sqrt(own[:, None] * self.own)) ** POWER
+            row, landmark = self.near(spelled)
+            if not len(row):
+                continue
+            used, row_of = np.unique(row, return_inverse=True)
+            own = np.maximum(kernel(spelled[used], spelled[used]), 1e-12)
+            cross = kernel(spelled[row], self.spelled[landmark])
+            out[rows[row], landmark] = (cross / np.sqrt(own[row_of] * self.own[landmark])) ** POWER
         return out
 
     def vectors(self, words: list[str]) -> np.ndarray:
         return self.similar(words) @ self.whiten
 
 
+def word_likeness(words: list[str], others: list[str]) -> np.ndarray:
+    """Normalised kernel of all pairs."""
+    a, b = letters(words), letters(others)
+    own_a, own_b = kernel(a, a), kernel(b, b)
+    return kernel(a[:, None, :], b[None]) / np.sqrt(np.maximum(own_a[:, None] * own_b, 1e-12))
+
+
 def windows(word: str) -> list[str]:
     if len(word) <= LONGEST:
         return [word]
@@ -199,6 +224,11 @@ class WordTable(dict):
         self.new = []
 
 
+def first_of_pairs(sentence: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Positions of the first of each word in each sentence: a word counts once."""
+    return np.unique(sentence * (codes.max(initial=0) + 1) + codes, return_index=True)[1]
+
+
 def sentences(table: WordTable, texts: list[str | None]):
     """Scores of all sentences of the texts, and each sentence's text."""
     if len(table) > MOST_WORDS:
@@ -219,7 +249,8 @@ def sentences(table: WordTable, texts: list[str | None]):
         new[1:] = table.end[codes[:-1]] | (doc[1:] != doc[:-1])
     sentence = np.cumsum(new) - 1
     starts = np.flatnonzero(new)
-    total = np.add.reduceat(value, starts) if len(starts) else np.zeros(0)
+    once = first_of_pairs(sentence, codes)
+    total = np.bincount(sentence[once], value[once], len(starts))
     _add_spelled_out(table, codes, doc, all_tokens, sizes, sentence, total)
     return total, doc[starts], table
 
@@ -263,7 +294,8 @@ class Model:
 
 
 def covering_words(toxic: list[set[str]], clean: list[set[str]], most: int) -> list[str]:
-    """Words that cover the toxic texts greedily and hardly occur in clean ones."""
+    """Words that hardly occur in clean texts: those that cover the toxic texts
+    greedily, then those in most toxic texts."""
     in_clean = Counter(w for words in clean for w in words)
     open_, chosen = list(range(len(toxic))), []
     texts_of: dict[str, list[int]] = {}
@@ -285,7 +317,9 @@ def covering_words(toxic: list[set[str]], clean: list[set[str]], most: int) -> l
                     if w in counts:
                         counts[w] -= 1
         del counts[best]
-    return chosen
+    enough = max(3, 0.003 * len(toxic))
+    also = sorted((w for w, t in texts_of.items() if len(t) >= enough), key=lambda w: (-len(texts_of[w]), w))
+    return list(dict.fromkeys([*chosen, *also[:most]]))
 
 
 def svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 400) -> tuple[np.ndarray, float]:
@@ -333,8 +367,13 @@ def fit(texts: list[str | None], toxic: np.ndarray, rounds: int = 3) -> Model:
     chosen = covering_words([s for s, y in zip(sets, toxic, strict=True) if y], [s for s, y in zip(sets, toxic, strict=True) if not y], COVERING)
     if not chosen:
         return none
+    kept: list[str] = []
+    for word in chosen:
+        if not kept or word_likeness([word], kept).max() < ALIKE:
+            kept.append(word)
     common = Counter(w for s, y in zip(sets, toxic, strict=True) if not y for w in s if len(w) > ORDER)
-    landmarks = Landmarks([*chosen, *(w for w, _ in common.most_common(OTHERS))], len(chosen))
+    landmarks = Landmarks(kept[:MOST_LANDMARKS], list(common))
+    landmarks.clean = []
     vectors = landmarks.vectors([w[:LONGEST] for w in plains])
     # Sentence vectors: sums of their words' vectors.
     codes = np.array([table[t] for s in split for t in s], np.int64)
@@ -343,7 +382,9 @@ def fit(texts: list[str | None], toxic: np.ndarray, rounds: int = 3) -> Model:
     new[0] = True
     new[1:] = table.end[codes[:-1]] | (of[1:] != of[:-1])
     starts = np.flatnonzero(new)
-    x = np.stack([np.add.reduceat(vectors[codes, k], starts) for k in range(vectors.shape[1])], axis=1)
+    once = first_of_pairs(np.cumsum(new) - 1, codes)
+    sentence = (np.cumsum(new) - 1)[once]
+    x = np.stack([np.bincount(sentence, v, len(starts)) for v in vectors[codes[once]].T], axis=1)
     names_one = np.isin(plains, chosen)[codes]
     positive = np.add.reduceat(names_one.astype(int), starts) > 0
     from_toxic = toxic[doc].astype(bool)
