@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labeltext.llm import bpe, exact, packing, simhash, toxicity
+from labeltext.llm import bpe, chunks, exact, packing, quality, simhash, toxicity
 from labeltext.llm.common import documents, id_bucket
 
 SEQUENCE_TOKENS = 2048
@@ -45,6 +45,12 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_chunk_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut, spans = chunks.deduplicated(documents(spark, folder).select("doc_id", "text"))
+    removed = F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cut.select("doc_id", "text", removed.alias("n_removed"), F.col(spans).alias("spans"))
+
+
 def labels(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/labels.parquet")
 
@@ -63,12 +69,27 @@ def op8_exact_groups(spark: SparkSession, folder: str) -> DataFrame:
     return exact.groups(documents(spark, folder), keep="max")
 
 
+def quality_model(spark: SparkSession, docs: DataFrame, folder: str) -> quality.Additive:
+    train = "crc32(cast(cast(doc_id AS string) AS binary)) % 3 <> 1"
+    return quality.fit(*quality.labelled_sample(docs, labels(spark, folder), "quality", train))
+
+
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    held_out = F.coalesce(id_bucket("doc_id", 3) == 1, F.lit(False))
+    return quality.scores(docs, quality_model(spark, docs, folder)).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pattern_packing": op1_pattern_packing,
     "op2_bpe": op2_bpe,
     "op3_simhash": op3_simhash,
+    "op4_chunk_dedup": op4_chunk_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_exact_groups": op8_exact_groups,
+    "op10_quality": op10_quality,
 }
 
 OP8_SQL = """
