@@ -6,21 +6,60 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from labeltext.llm import queries
+from labeltext.llm import chunks, exact, quality, queries, simhash
 from labeltext.llm.common import documents
 from labeltext.session import ensure_checkpoint_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the additive model of ``labels.quality`` accepts."""
+    model = queries.quality_model(spark, docs, sf_dir)
+    return docs.where(quality.score(F.col("text"), model) >= 0.5)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for A-Z's case, the row with the largest id."""
+    return exact.survivors(docs, keep="max")
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every SimHash group (3 words, 3 bits) the document with the smallest id.
+
+    Documents without an id are not told apart and stay. Only the ids of those
+    that go meet the texts; their side is broadcast when Spark finds it small.
+    """
+    near = simhash.near_duplicates(docs, words=3, distance=3)
+    gone = near.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages cut out of every document but one; ``n_chars`` follows the text."""
+    cut = chunks.deduplicated(docs)[0].select(*docs.columns)
+    if "n_chars" not in docs.columns:
+        return cut
+    return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in sequences of 2048 tokens."""
     return queries.packed(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("pattern_packing", packing_stage)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality_stage),
+    ("exact_dedup", exact_stage),
+    ("simhash", near_stage),
+    ("substring_dedup", substring_stage),
+    ("pattern_packing", packing_stage),
+]
 
+# The stages' models, fingerprints and token ids have no SQL form; tests hold the
+# stages against brute force instead.
 ORACLE_SQL: str | None = None
 
 
