@@ -31,6 +31,7 @@ labels (0.5 without labels). Only texts are inputs of a score.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -359,32 +360,35 @@ def fit(texts: list[str | None], toxic: np.ndarray, rounds: int = 3) -> Model:
     if not 0 < share < 1:
         return none
     table = WordTable(lambda words: np.zeros(len(words)))
-    total, doc, table = sentences(table, texts)
-    names = list(table)
-    plains = [plain(t) for t in names]
-    split = [tokens(t) if t else [] for t in texts]
-    sets = [{plain(t) for t in s} for s in split]
-    chosen = covering_words([s for s, y in zip(sets, toxic, strict=True) if y], [s for s, y in zip(sets, toxic, strict=True) if not y], COVERING)
+    split = [[table[t] for t in tokens(text or "")] for text in texts]
+    table.settle()
+    plains = [sys.intern(plain(t)) for t in table]
+    sets = [{plains[t] for t in own} for own in split]
+    bad = [s for s, y in zip(sets, toxic, strict=True) if y]
+    good = [s for s, y in zip(sets, toxic, strict=True) if not y]
+    chosen = covering_words(bad, good, COVERING)
     if not chosen:
         return none
     kept: list[str] = []
     for word in chosen:
         if not kept or word_likeness([word], kept).max() < ALIKE:
             kept.append(word)
-    common = Counter(w for s, y in zip(sets, toxic, strict=True) if not y for w in s if len(w) > ORDER)
-    landmarks = Landmarks(kept[:MOST_LANDMARKS], list(common))
+    landmarks = Landmarks(kept[:MOST_LANDMARKS], sorted(set().union(*good)))
     landmarks.clean = []
+    del bad, good, sets
     vectors = landmarks.vectors([w[:LONGEST] for w in plains])
     # Sentence vectors: sums of their words' vectors.
-    codes = np.array([table[t] for s in split for t in s], np.int64)
+    codes = np.array([t for own in split for t in own], np.int64)
     new = np.zeros(len(codes), bool)
     of = np.repeat(np.arange(len(texts)), [len(s) for s in split])
     new[0] = True
     new[1:] = table.end[codes[:-1]] | (of[1:] != of[:-1])
     starts = np.flatnonzero(new)
+    doc = of[starts]
     once = first_of_pairs(np.cumsum(new) - 1, codes)
     sentence = (np.cumsum(new) - 1)[once]
-    x = np.stack([np.bincount(sentence, v, len(starts)) for v in vectors[codes[once]].T], axis=1)
+    of_word = codes[once]
+    x = np.stack([np.bincount(sentence, v[of_word], len(starts)) for v in vectors.T], axis=1)
     names_one = np.isin(plains, chosen)[codes]
     positive = np.add.reduceat(names_one.astype(int), starts) > 0
     from_toxic = toxic[doc].astype(bool)
