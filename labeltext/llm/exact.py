@@ -2,7 +2,7 @@
 
 Texts are equal when identical after lower-casing A-Z. Every task first inserts
 its own texts into a radix trie, so copies within a task leave it as one row
-with a count: however many copies a text has, at most one per task and 32 MB of
+with a count: however many copies a text has, at most one per task and 8 MB of
 input is shuffled. Rows are then dealt by (length, content hash) and sorted by
 it; the receiving task inserts the full byte strings into a trie, whose terminal
 nodes own the group: they hold the winning identifier and the number of rows.
@@ -32,7 +32,7 @@ from xxhash import xxh64_intdigest
 from labeltext.llm.common import checkpointed, fresh, slices, text_bytes
 
 # Bytes of text in a trie before it is given out at the next chance.
-TRIE_BYTES = 32 << 20
+TRIE_BYTES = 8 << 20
 
 
 class Node:
