@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labeltext.llm import bpe, chat, chunks, exact, packing, quality, simhash, toxicity
+from labeltext.llm import bpe, chat, chunks, exact, fingerprint, packing, quality, simhash, toxicity, url_rules
 from labeltext.llm.common import documents, id_bucket
 
 SEQUENCE_TOKENS = 2048
@@ -55,6 +55,18 @@ def labels(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/labels.parquet")
 
 
+URL_RULES = ["allow com/", "block example.com/en/", "allow www.example.com/en/", "block net/es/", "block net/fr/"]
+
+
+def op5_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    return url_rules.judge(pages, url_rules.rules_of(URL_RULES))
+
+
+def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(documents(spark, folder))
+
+
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     train = "crc32(cast(cast(doc_id AS string) AS binary)) % 5 <> 0"
@@ -113,6 +125,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_simhash": op3_simhash,
     "op4_chunk_dedup": op4_chunk_dedup,
+    "op5_url_rules": op5_url_rules,
+    "op6_fingerprints": op6_fingerprints,
     "op7_toxicity": op7_toxicity,
     "op8_exact_groups": op8_exact_groups,
     "op9_chat_format": op9_chat_format,
