@@ -2,8 +2,8 @@
 
 The kernel of two words counts their common subsequences of three letters, each
 weighed down by the gaps it spans, normalised and raised to a power (products of
-kernels are kernels). Gapped and padded spellings of an insult keep most of its
-subsequences, so they stay near it. The kernel of two sentences is the sum over
+kernels are kernels). Marks inside a word are left out, and gapped and padded
+spellings of an insult keep most of its subsequences, so they stay near it. The kernel of two sentences is the sum over
 their word pairs; with landmark words that is a vector of sums, whitened by the
 landmarks' own kernel matrix (Nyström), and a linear support vector machine on
 these vectors scores a sentence. A text has the score of its worst sentence.
@@ -45,13 +45,13 @@ from pyspark.sql import types as T
 from labeltext.llm.common import slices
 
 FIT_TEXTS = 1500
-COVERING, MOST_LANDMARKS, ALIKE = 64, 64, 0.55
-ORDER, DECAY, POWER = 3, 0.6, 3
+COVERING, MOST_LANDMARKS, ALIKE = 64, 64, 0.65
+ORDER, DECAY, POWER = 3, 0.9, 6
 LONGEST = 48
 MOST_WORDS = 200_000
 CODES = 64
 
-EDGES = re.compile(r"^[^\w]+|[^\w]+$")
+MARKS = re.compile(r"[\W_]+")
 
 
 def letters(words: list[str]) -> np.ndarray:
@@ -187,7 +187,8 @@ def tokens(text: str) -> list[str]:
 
 
 def plain(token: str) -> str:
-    return EDGES.sub("", token.lower())
+    """Letters and digits of a token, so that marks inside a word hide nothing."""
+    return MARKS.sub("", token.lower())
 
 
 def ends(token: str) -> bool:
