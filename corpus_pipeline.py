@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labeltext.llm import chunks, exact, quality, queries, simhash
-from labeltext.llm.common import documents
+from labeltext.llm.common import documents, small_batches
 from labeltext.session import ensure_checkpoint_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -17,6 +17,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the additive model of ``labels.quality`` accepts."""
+    small_batches(spark)
     model = queries.quality_model(spark, docs, sf_dir)
     return docs.where(quality.score(F.col("text"), model) >= 0.5)
 
