@@ -13,7 +13,7 @@ from labeltext.session import ensure_checkpoint_dir
 
 # Python tasks work on about this many bytes of text at a time, whatever the
 # size of the batches that Spark hands over.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
