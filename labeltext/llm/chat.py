@@ -6,7 +6,7 @@ other part a placeholder between control strings, whose ordinal in the
 conversation is its place in the list of attachments; the attachment keeps the
 part's kind and reference and counts the tokens that its placeholder expands to.
 
-The template writes ``<|im_start|>role\\ncontent<|im_end|>\\n`` per turn. A ``<|``
+The layout writes ``<|im_start|>role\\ncontent<|im_end|>\\n`` per turn. A ``<|``
 or a backslash inside a text, role or reference gets a backslash before its
 second or only character, so no control string can arise from content, and
 ``plain`` undoes it exactly. The loss mask is a list of spans, in characters of
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The template's control strings.
+# Control strings of the layout.
 START, END = "<|im_start|>", "<|im_end|>"
 MARKS = {"image": ("<|image_start|>", "<|image_end|>"), "audio": ("<|audio_start|>", "<|audio_end|>"), "document": ("<|doc_start|>", "<|doc_end|>")}
 
