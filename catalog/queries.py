@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import tables
-from labeltext.functions.templates import single_line_pair
+from labeltext.functions.line_patterns import single_line_pair
 from labeltext.functions.text import clean_line, lower_words, split_words
 from labeltext.operators import classify, cluster, corpus, features, lift, metrics, prompts, rewrite
 from labeltext.operators import vocabulary as vocab

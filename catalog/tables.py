@@ -9,12 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labeltext.operators.scale import spread
-
-LANGUAGES = ["de", "en", "es", "fr"]
+from labeltext.sources.readers import load_corpus
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return load_corpus(spark, f"{folder}/{name}.parquet")
 
 
 def texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,8 +26,10 @@ def _split(key: str) -> Column:
 
 
 def news(spark: SparkSession, folder: str) -> DataFrame:
-    """Four-class corpus: the language is the class."""
-    position = F.array_position(F.array(*[F.lit(v) for v in LANGUAGES]), F.col("lang"))
+    """The language is the class: its rank among the languages that occur."""
+    rows = table(spark, folder, "documents").select("lang").where("lang IS NOT NULL").distinct()
+    languages = sorted(r.lang for r in rows.collect())  # as many as there are languages
+    position = F.array_position(F.array(*[F.lit(v) for v in languages]).cast("array<string>"), F.col("lang"))
     return texts(spark, folder).select(
         "doc_id", "text", (F.nullif(position, F.lit(0)) - 1).cast("int").alias("label"), _split("doc_id").alias("split")
     )

@@ -1,4 +1,4 @@
-"""Names, templates and patterns that results depend on.
+"""Names, line wordings and patterns that results depend on.
 
 Everything here is data. Nothing in this module may change without changing
 results.
@@ -38,8 +38,8 @@ SPLIT_NAMES = {
     "yelp_polarity": {"train": "train", "val": "val", "test": "test"},
 }
 
-# Line templates, {} filled left to right.
-LINE_TEMPLATES = {
+# Line patterns, {} filled left to right.
+LINE_PATTERNS = {
     "nli_prompt_0": "{} Is it true that {} ?",
     "nli_prompt_1": "{} @separater@ {}",
     "text2rel_source_prompt_0": "{} <mask> is <mask> of <mask>",

@@ -1,6 +1,6 @@
-"""Line templates: name -> function of Columns returning a Column.
+"""Line patterns: name -> function of Columns returning a Column.
 
-``register_template`` adds one; no Python code runs per row.
+``register_pattern`` adds one; no Python code runs per row.
 """
 
 from __future__ import annotations
@@ -10,34 +10,34 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from labeltext.fixed_values import LINE_TEMPLATES, PAIR_SEPARATOR
+from labeltext.fixed_values import LINE_PATTERNS, PAIR_SEPARATOR
 
-_TEMPLATES: dict[str, Callable[..., Column]] = {}
+_PATTERNS: dict[str, Callable[..., Column]] = {}
 
 
-def register_template(name: str, pattern: str | Callable[..., Column]) -> None:
+def register_pattern(name: str, pattern: str | Callable[..., Column]) -> None:
     """Register a ``{}`` pattern or a function of Columns under ``name``."""
     if callable(pattern):
-        _TEMPLATES[name] = pattern
+        _PATTERNS[name] = pattern
         return
     literals = pattern.split("{}")
 
     def fill(*values: Column) -> Column:
         if len(values) != len(literals) - 1:
-            raise ValueError(f"template {name} takes {len(literals) - 1} values, got {len(values)}")
+            raise ValueError(f"pattern {name} takes {len(literals) - 1} values, got {len(values)}")
         parts = [F.lit(literals[0])]
         for value, literal in zip(values, literals[1:]):
             parts += [value, F.lit(literal)]
         return F.concat(*parts)
 
-    _TEMPLATES[name] = fill
+    _PATTERNS[name] = fill
 
 
-def apply_template(name: str, *values: Column) -> Column:
-    """The line a registered template makes of the given Columns."""
-    if name not in _TEMPLATES:
-        raise ValueError(f"unknown template {name!r}; known: {sorted(_TEMPLATES)}")
-    return _TEMPLATES[name](*values)
+def apply_pattern(name: str, *values: Column) -> Column:
+    """The line a registered pattern makes of the given Columns."""
+    if name not in _PATTERNS:
+        raise ValueError(f"unknown pattern {name!r}; known: {sorted(_PATTERNS)}")
+    return _PATTERNS[name](*values)
 
 
 def single_line_pair(source: Column, target: Column) -> Column:
@@ -45,5 +45,5 @@ def single_line_pair(source: Column, target: Column) -> Column:
     return F.concat(source, F.lit(PAIR_SEPARATOR), target)
 
 
-for _name, _pattern in LINE_TEMPLATES.items():
-    register_template(_name, _pattern)
+for _name, _pattern in LINE_PATTERNS.items():
+    register_pattern(_name, _pattern)

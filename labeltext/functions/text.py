@@ -15,9 +15,7 @@ from labeltext.fixed_values import (
     TERM_PATTERN,
     WORD_STEPS,
 )
-
-
-MOST_WORDS = 1 << 30
+from labeltext.functions.lookups import let
 
 
 def _spaced(text: Column, *kinds: str) -> Column:
@@ -45,7 +43,7 @@ def split_words(text: Column) -> Column:
     )
     # The text starts with a blank, so the first piece is none of its words.
     pieces = F.split(F.rtrim(spaced), r" +|\\", -1)
-    return F.slice(pieces, 2, MOST_WORDS)
+    return let(pieces, lambda p: F.slice(p, 2, F.size(p)))
 
 
 def lower_words(words: Column, first: int | None = None) -> Column:

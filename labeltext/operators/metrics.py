@@ -18,8 +18,20 @@ from labeltext.operators.scale import with_row_index
 LOG_FLOOR = -100.0
 
 
-def one_hot(rows: DataFrame, label: str, name: str, levels: list[int] | range = range(4)) -> DataFrame:
-    """``rows`` with a 0/1 column ``<name>_<level>`` per level."""
+def label_levels(rows: DataFrame, *labels: str, most: int = 10_000) -> list[int]:
+    """The sorted distinct labels of the columns. More than ``most`` raise an error:
+    each becomes a column or a pair of columns, so such a table could not be used."""
+    every = F.array(*[F.col(c) for c in labels])
+    found = rows.select(F.explode(every).alias("v")).where("v IS NOT NULL").distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} different labels")
+    return sorted(r.v for r in found)
+
+
+def one_hot(rows: DataFrame, label: str, name: str, levels: list[int] | range | None = None) -> DataFrame:
+    """``rows`` with a 0/1 column ``<name>_<level>`` per level, by default per label
+    that occurs."""
+    levels = label_levels(rows, label) if levels is None else levels
     return rows.withColumns(
         {f"{name}_{v}": F.when(F.col(label) == v, 1).otherwise(0) for v in levels}
     )
@@ -31,42 +43,30 @@ def contingency(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def label_correlation(
-    rows: DataFrame, a: str, b: str, levels: list[int] | range = range(4)
+    rows: DataFrame, a: str, b: str, levels: list[int] | range | None = None
 ) -> DataFrame:
     """``(key1, key2, corr)``: Pearson correlation of each pair of one-hot columns
-    of two labelings; NULL where a column is constant.
+    of two labelings; NULL where a column is constant. ``levels`` are by default
+    the labels that occur in either labeling.
 
-    A one-hot sum is a count, so the whole block follows from the contingency
-    counts: one shuffle of pre-aggregated pairs however many levels there are.
+    A one-hot sum is a count, so the block follows from the contingency counts,
+    joined with the grid of levels: one shuffle of pre-aggregated pairs.
     """
-    cells = contingency(rows, a, b)
-    total = F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("n")
-    sums = [
-        F.coalesce(F.sum(F.when(F.col(c) == v, F.col("n"))), F.lit(0)).cast("double").alias(f"{c}_{v}")
-        for c in (a, b)
-        for v in levels
-    ]
-    pairs = [
-        F.coalesce(F.sum(F.when((F.col(a) == i) & (F.col(b) == j), F.col("n"))), F.lit(0))
-        .cast("double")
-        .alias(f"xy_{i}_{j}")
-        for i in levels
-        for j in levels
-    ]
-    wide = cells.agg(total, *sums, *pairs)
-    n = F.col("n")
-
-    def corr(i: int, j: int) -> Column:
-        x, y = F.col(f"{a}_{i}"), F.col(f"{b}_{j}")
-        spread = F.sqrt((n * x - x * x) * (n * y - y * y))
-        return F.try_divide(n * F.col(f"xy_{i}_{j}") - x * y, spread)
-
-    block = [
-        F.struct(F.lit(f"{a}_{i}").alias("key1"), F.lit(f"{b}_{j}").alias("key2"), corr(i, j).alias("corr"))
-        for i in levels
-        for j in levels
-    ]
-    return wide.select(F.inline(F.array(*block)))
+    cells = contingency(rows, a, b).persist()
+    if levels is None:
+        levels = label_levels(cells, a, b)
+    spark = rows.sparkSession
+    kind = rows.schema[a].dataType.simpleString()
+    grid = spark.createDataFrame([(i, j) for i in levels for j in levels], f"i {kind}, j {kind}")
+    x = cells.groupBy(F.col(a).alias("i")).agg(F.sum("n").cast("double").alias("x"))
+    y = cells.groupBy(F.col(b).alias("j")).agg(F.sum("n").cast("double").alias("y"))
+    xy = cells.select(F.col(a).alias("i"), F.col(b).alias("j"), F.col("n").cast("double").alias("xy"))
+    total = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double")).scalar()
+    wide = grid.join(x, "i", "left").join(y, "j", "left").join(xy, ["i", "j"], "left").na.fill(0.0)
+    spread = F.sqrt((total * F.col("x") - F.col("x") * F.col("x")) * (total * F.col("y") - F.col("y") * F.col("y")))
+    corr = F.try_divide(total * F.col("xy") - F.col("x") * F.col("y"), spread)
+    name = lambda prefix, v: F.concat(F.lit(f"{prefix}_"), F.col(v).cast("string"))
+    return wide.select(name(a, "i").alias("key1"), name(b, "j").alias("key2"), corr.alias("corr"))
 
 
 def cluster_scores(rows: DataFrame, label: str = "label", cluster: str = "cluster") -> DataFrame:

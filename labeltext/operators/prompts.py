@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from labeltext.fixed_values import ANSWER_TOPICS
 from labeltext.functions.lookups import name_of, required
-from labeltext.functions.templates import apply_template
+from labeltext.functions.line_patterns import apply_pattern
 from labeltext.functions.text import clean_line
 from labeltext.operators.scale import is_small
 
@@ -26,8 +26,8 @@ def _lines(records: DataFrame, source: Column, target: Column) -> DataFrame:
 
 
 def sentence_pair_lines(records: DataFrame, prompt: str = "prompt_0") -> DataFrame:
-    """``(sentence1, sentence2, label)``: both sentences by template -> label."""
-    source = apply_template(f"nli_{prompt}", F.col("sentence1"), F.col("sentence2"))
+    """``(sentence1, sentence2, label)``: both sentences by pattern -> label."""
+    source = apply_pattern(f"nli_{prompt}", F.col("sentence1"), F.col("sentence2"))
     return _lines(records, source, F.col("label").cast("string"))
 
 
@@ -44,15 +44,15 @@ def summary_lines(records: DataFrame, prompt: str = "prompt_0") -> DataFrame:
 def relation_lines(
     records: DataFrame, relation_names: DataFrame, prompt: str = "prompt_0"
 ) -> DataFrame:
-    """``(token, h, t, relation)``: tokens by template -> the named relation.
+    """``(token, h, t, relation)``: tokens by pattern -> the named relation.
 
     ``relation_names`` is ``(relation, name)``; a relation it lacks fails the job.
     """
     small = is_small(relation_names, RELATION_NAMES, "name")
     names = F.broadcast(relation_names) if small else relation_names
     named = records.join(names, "relation", "left")
-    source = apply_template(f"text2rel_source_{prompt}", F.array_join("token", " "))
-    target = apply_template(
+    source = apply_pattern(f"text2rel_source_{prompt}", F.array_join("token", " "))
+    target = apply_pattern(
         f"text2rel_target_{prompt}",
         F.col("t.name"),
         required(F.col("name"), "relation name"),

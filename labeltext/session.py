@@ -2,27 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the checkpoint folder the cluster names in ``spark.checkpoint.dir``.
+    """The checkpoint folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session without one gets a temporary folder; on a cluster a
-    machine-local folder would be lost with its executor, so that is an error.
+    The folder must be one that the driver and all executors share, so there is
+    no fallback to a folder of this machine: without the setting this fails. With
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark deletes what is no
+    longer referenced.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
-        "spark.checkpoint.dir"
-    )
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="labeltext-checkpoint-")
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(folder)
     return folder

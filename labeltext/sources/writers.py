@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labeltext.functions.templates import single_line_pair
+from labeltext.functions.line_patterns import single_line_pair
 from labeltext.functions.text import clean_line
 from labeltext.session import ensure_checkpoint_dir
 

@@ -28,7 +28,7 @@ def text_files(folder):
     return out
 
 
-def test_line_templates(spark):
+def test_line_patterns(spark):
     pair = spark.createDataFrame([(1, "A\nx ", "B", 1, "train")], PAIR)
     assert rows(prompts.sentence_pair_lines(pair)) == [(1, "train", "A x  Is it true that B ?", "1")]
     summary = spark.createDataFrame([(1, " t\n", "s")], "id bigint, text string, target string")

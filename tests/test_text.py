@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labeltext.functions.lookups import name_of, renamed_by, required
-from labeltext.functions.templates import apply_template, register_template, single_line_pair
+from labeltext.functions.line_patterns import apply_pattern, register_pattern, single_line_pair
 from labeltext.functions.text import clean_line, feature_terms, lower_words, pad_ids, split_words
 
 
@@ -62,17 +62,17 @@ def test_pad_ids(spark, ids, out):
     assert df.select(pad_ids(F.col("ids"), 5).alias("x")).first().x == out
 
 
-def test_templates(spark):
+def test_patterns(spark):
     a, b = F.lit("A"), F.lit("B")
-    assert value(spark, apply_template("nli_prompt_0", a, b), "") == "A Is it true that B ?"
-    assert value(spark, apply_template("nli_prompt_1", a, b), "") == "A @separater@ B"
+    assert value(spark, apply_pattern("nli_prompt_0", a, b), "") == "A Is it true that B ?"
+    assert value(spark, apply_pattern("nli_prompt_1", a, b), "") == "A @separater@ B"
     assert value(spark, single_line_pair(a, b), "") == "A @separator@ B"
-    register_template("shout", lambda x: F.upper(x))
-    assert value(spark, apply_template("shout", F.lit("hey")), "") == "HEY"
+    register_pattern("shout", lambda x: F.upper(x))
+    assert value(spark, apply_pattern("shout", F.lit("hey")), "") == "HEY"
     with pytest.raises(ValueError):
-        apply_template("no_such", a)
+        apply_pattern("no_such", a)
     with pytest.raises(ValueError):
-        apply_template("nli_prompt_0", a)
+        apply_pattern("nli_prompt_0", a)
 
 
 def test_lookups(spark):
