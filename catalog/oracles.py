@@ -178,7 +178,67 @@ hc AS (
   SELECT *, CASE WHEN h_label = 0 THEN 1.0 ELSE mi / h_label END AS hom,
          CASE WHEN h_cluster = 0 THEN 1.0 ELSE mi / h_cluster END AS com FROM h)"""
 
+def _lloyd(rounds: int) -> str:
+    """Assignments after so many Lloyd steps from the labels' means."""
+    steps = ["""points AS (
+  SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS features FROM embeddings),
+dims AS (SELECT id, label, unnest(features) AS x, generate_subscripts(features, 1) AS d FROM points),
+centers0 AS (SELECT label AS cluster, d, avg(x) AS c FROM dims GROUP BY label, d)"""]
+    for i in range(rounds):
+        steps.append(f"""near{i} AS (
+  SELECT id, cluster FROM (
+    SELECT id, cluster, row_number() OVER (PARTITION BY id ORDER BY dist, cluster) AS r
+    FROM (SELECT id, cluster, sum((x - c) * (x - c)) AS dist FROM dims JOIN centers{i} USING (d) GROUP BY id, cluster))
+  WHERE r = 1),
+centers{i + 1} AS (SELECT cluster, d, avg(x) AS c FROM dims JOIN near{i} USING (id) GROUP BY cluster, d)""")
+    last = f"nearest AS (SELECT id, label, cluster FROM points JOIN near{rounds - 1} USING (id))"
+    return ",\n".join([*steps, last])
+
+
+SPLIT3 = "CASE doc_id % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END"
+CLASS_MEANS = """sizes AS (SELECT label, count(*) AS n FROM news GROUP BY label),
+centroids AS (
+  SELECT label AS cluster, term, round(sum(weight) / any_value(n), 9) AS weight
+  FROM weights JOIN news USING (doc_id) JOIN sizes USING (label) GROUP BY label, term)"""
+
 ORACLES: dict[str, str] = {
+    "lsa_vectors": f"""WITH {WEIGHTS}
+        SELECT doc_id, CAST(doc_id IN (SELECT doc_id FROM weights) AS INT)::DOUBLE AS square FROM news""",
+    "lsa_components": f"""WITH {WEIGHTS}, t AS (SELECT count(DISTINCT term) AS n FROM weights)
+        SELECT CAST(i AS INT) AS i, 1.0::DOUBLE AS square, true AS within
+        FROM t, range(100) r(i) WHERE i < greatest(1, least(100, n - 1))""",
+    "kmeans_clusters": "SELECT doc_id, true AS known_cluster FROM documents",
+    "lloyd_clusters": f"WITH {_lloyd(3)} SELECT id, label, cluster FROM nearest",
+    "lloyd_scores": f"""WITH {_lloyd(3)},
+        cells AS (SELECT label, cluster, count(*)::DOUBLE AS n FROM nearest GROUP BY ALL), {ENTROPIES}
+        SELECT round(hom, 9) AS homogeneity, round(com, 9) AS completeness,
+               round(CASE WHEN hom + com = 0 THEN 0.0 ELSE 2 * hom * com / (hom + com) END, 9) AS v_measure,
+               round((p_cells - p_rows * p_cols / p_all)
+                     / ((p_rows + p_cols) / 2 - p_rows * p_cols / p_all), 9) AS adjusted_rand
+        FROM hc""",
+    "kmeans_runs": """SELECT unnest(['homogeneity', 'completeness', 'v_measure', 'adjusted_rand', 'silhouette']) AS metric,
+        true AS sound""",
+    "cluster_terms": """SELECT CAST(c AS INT) AS cluster, CAST(r AS INT) AS rank
+        FROM range(4) a(c), range(1, 11) b(r)""",
+    "centroid_terms": f"""WITH {WEIGHTS}, {CLASS_MEANS},
+        coordinates(cluster, component, x) AS (VALUES (0, 0, 1.0), (0, 2, 0.5), (1, 0, 0.25), (1, 1, 0.75)),
+        back AS (
+          SELECT o.cluster, term, round(sum(weight * x::DOUBLE), 9) AS weight
+          FROM centroids c JOIN coordinates o ON o.component = c.cluster GROUP BY o.cluster, term)
+        SELECT cluster, CAST(rank AS INT) AS rank, term, weight FROM (
+          SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY weight DESC, term) AS rank
+          FROM back) WHERE rank <= 10""",
+    "classifier_scores": f"""SELECT doc_id, {SPLIT3} AS split, quality::DOUBLE AS y, true AS sound
+        FROM documents JOIN labels USING (doc_id)""",
+    "classifier_best": f"""SELECT {SPLIT3} AS split, count(*) AS n_rows, true AS sound
+        FROM documents JOIN labels USING (doc_id) GROUP BY 1""",
+    "vocab_listing": f"WITH {VOCAB} SELECT row_number() OVER (ORDER BY token_id) - 1 AS place, token FROM vocab",
+    "required_values": "SELECT doc_id, source FROM documents",
+    "inverted_names": """SELECT n_regionkey AS relation, arg_max(n_name, n_nationkey) AS name
+        FROM nation GROUP BY n_regionkey""",
+    "valid_lines": "SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents",
+    "fanned_splits": f"""WITH {NEWS} SELECT doc_id, label, unnest(CASE split WHEN 'test' THEN ['val', 'test'] ELSE [split] END)
+        AS split FROM news""",
     "class_keywords": f"""{with_lift()}
         SELECT doc_id, label, coalesce(array_to_string(keywords, ' | '), '') AS keywords
         FROM words LEFT JOIN picked USING (doc_id)""",
@@ -336,3 +396,5 @@ ORACLES: dict[str, str] = {
           GROUP BY batch)
         SELECT count(*) AS n_batches, round(avg(loss), 9) AS epoch_loss FROM batches""",
 }
+
+ORACLES["complement_corpus"] = ORACLES["complement_text"]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,10 @@ from labeltext.functions.line_patterns import single_line_pair
 from labeltext.functions.text import clean_line, lower_words, split_words
 from labeltext.operators import classify, cluster, corpus, features, lift, metrics, prompts, rewrite
 from labeltext.operators import vocabulary as vocab
+from labeltext.operators.scale import with_row_index
 from labeltext.plans import jobs
+from labeltext.session import ensure_checkpoint_dir
+from labeltext.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -31,12 +35,22 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 9) for c in columns})
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A table that is read several times, computed once.
+
+    Checkpointed rather than cached: the result is lazy, so nobody could release a
+    cache, while Spark's cleaner deletes checkpoints that nothing refers to.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def _words(spark: SparkSession, folder: str, **kwargs) -> DataFrame:
-    return lift.document_words(tables.news(spark, folder), **kwargs).persist()
+    return kept(lift.document_words(tables.news(spark, folder), **kwargs))
 
 
 def _lift(words: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return lift.class_lift(words, by).persist()
+    return kept(lift.class_lift(words, by))
 
 
 def _ranked(words: DataFrame) -> DataFrame:
@@ -93,8 +107,7 @@ def class_doc_freq(spark, folder):
 
 @query
 def inverse_doc_ratio(spark, folder):
-    words = _words(spark, folder)
-    return lift.class_lift(words).select("word", "n_total", "idf").distinct()
+    return lift.inverse_ratios(_words(spark, folder))
 
 
 @query
@@ -198,7 +211,7 @@ def max_token_len(spark, folder):
 @query
 def vocab_class_lift(spark, folder):
     vocabulary = vocab.build_vocabulary(_benchmark_words(spark, folder))
-    words = vocab.encode(_words(spark, folder), vocabulary, "words").persist()
+    words = kept(vocab.encode(_words(spark, folder), vocabulary, "words"))
     scores = lift.class_lift(words).select("label", "token_id", "score")
     pads = lift.pad_scores(words).select("label", F.lit(0).alias("token_id"), F.col("pad_score").alias("score"))
     return scores.unionByName(pads)
@@ -207,7 +220,7 @@ def vocab_class_lift(spark, folder):
 @query
 def vocab_keywords(spark, folder):
     vocabulary = vocab.build_vocabulary(_benchmark_words(spark, folder))
-    words = vocab.encode(_words(spark, folder), vocabulary, "words").persist()
+    words = kept(vocab.encode(_words(spark, folder), vocabulary, "words"))
     return rewrite.keyword_lines(_ranked(words))
 
 
@@ -293,7 +306,7 @@ def cluster_scores(spark, folder):
 
 @query
 def silhouette(spark, folder):
-    return rounded(metrics.silhouette(_nearest(spark, folder).persist()), "silhouette")
+    return rounded(metrics.silhouette(kept(_nearest(spark, folder))), "silhouette")
 
 
 @query
@@ -307,7 +320,7 @@ def metric_mean_std(spark, folder):
 
 
 def _weights(spark: SparkSession, folder: str) -> DataFrame:
-    counts = features.term_counts(features.document_terms(tables.news(spark, folder))).persist()
+    counts = kept(features.term_counts(features.document_terms(tables.news(spark, folder))))
     return features.tfidf_weights(counts)
 
 
@@ -323,29 +336,74 @@ def cluster_top_terms(spark, folder):
     return cluster.top_terms(rounded(weights, "weight"))
 
 
+def _points(spark: SparkSession, folder: str) -> tuple[features.LsaModel, DataFrame]:
+    """100 components of all documents, and the documents in them."""
+    weights = kept(_weights(spark, folder))
+    model = features.fit_lsa(weights)
+    return model, kept(features.lsa_vectors(weights, model, tables.news(spark, folder)))
+
+
 @query
 def lsa_vectors(spark, folder):
-    terms = features.document_terms(tables.news(spark, folder)).persist()
-    vectors = features.fit_tfidf(terms).transform(terms).persist()
-    return features.as_array(features.lsa_vectors(vectors, features.fit_lsa(vectors, 20)))
+    """The trained numbers have no SQL form; their lengths have: 1, or 0 without terms."""
+    _, points = _points(spark, folder)
+    square = F.aggregate(vector_to_array("features"), F.lit(0.0), lambda n, x: n + x * x)
+    return points.select("doc_id", F.round(square, 6).alias("square"))
+
+
+@query
+def lsa_components(spark, folder):
+    """Orthonormality of the components, and that they hold no more than all the weight."""
+    model, points = _points(spark, folder)
+    component = model.components.select("term", F.posexplode("w").alias("i", "w"))
+    norms = component.groupBy("i").agg(F.round(F.sum(F.col("w") * F.col("w")), 6).alias("square"))
+    held = float((model.singular_values**2).sum())
+    total = points.where(F.aggregate(vector_to_array("features"), F.lit(0.0), lambda n, x: n + x * x) > 0).count()
+    return norms.select("i", "square", F.lit(0 < held <= total).alias("within"))
 
 
 @query
 def kmeans_clusters(spark, folder):
-    terms = features.document_terms(tables.news(spark, folder)).persist()
-    vectors = features.fit_tfidf(terms).transform(terms).persist()
-    model = cluster.fit_kmeans(vectors, k=4)
-    return cluster.assign_clusters(vectors, model).select("doc_id", "cluster")
+    _, points = _points(spark, folder)
+    model = cluster.fit_kmeans(points, k=4)
+    rows = cluster.assign_clusters(points, model)
+    return rows.select("doc_id", F.col("cluster").between(0, 3).alias("known_cluster"))
+
+
+@query
+def lloyd_clusters(spark, folder):
+    rows = tables.vectors(spark, folder)
+    return cluster.lloyd(rows, cluster.class_centroids(rows), 3).select("id", "label", "cluster")
+
+
+@query
+def lloyd_scores(spark, folder):
+    rows = tables.vectors(spark, folder)
+    scores = metrics.cluster_scores(cluster.lloyd(rows, cluster.class_centroids(rows), 3))
+    return rounded(scores, *scores.columns)
 
 
 @query
 def kmeans_runs(spark, folder):
-    return jobs.cluster_corpus(tables.news(spark, folder), k=4, dims=20)["scores"]
+    scores = jobs.cluster_corpus(tables.news(spark, folder), k=4)["scores"]
+    sound = F.col("mean_value").between(-1, 1) & (F.col("std_value") >= 0)
+    return scores.select("metric", sound.alias("sound"))
 
 
 @query
 def cluster_terms(spark, folder):
-    return jobs.cluster_corpus(tables.news(spark, folder), k=4, dims=20, runs=1)["top_terms"]
+    top = jobs.cluster_corpus(tables.news(spark, folder), k=4)["top_terms"]
+    return top.select("cluster", "rank")
+
+
+@query
+def centroid_terms(spark, folder):
+    """Fixed coordinates over the classes' mean weights, back in terms."""
+    labels = tables.news(spark, folder).select("doc_id", "label")
+    means = cluster.class_term_centroids(_weights(spark, folder), labels)
+    components = means.select("term", F.col("cluster").alias("component"), F.round("weight", 9).alias("weight"))
+    back = cluster.centroids_in_term_space(components, [[1.0, 0.0, 0.5, 0.0], [0.25, 0.75, 0.0, 0.0]])
+    return cluster.top_terms(rounded(back, "weight"))
 
 
 # --- classifier -------------------------------------------------------------------
@@ -364,16 +422,64 @@ def batch_mean_loss(spark, folder):
 def _three_way(spark: SparkSession, folder: str) -> DataFrame:
     fifth = F.col("doc_id") % 5
     split = F.when(fifth == 0, "test").when(fifth == 1, "val").otherwise("train")
-    return jobs.classifier_rows(tables.sentiment(spark, folder).withColumn("split", split), dims=20)
+    return jobs.classifier_rows(tables.sentiment(spark, folder).withColumn("split", split))
 
 
 @query
 def classifier_scores(spark, folder):
-    rows = _three_way(spark, folder).persist()
+    rows = _three_way(spark, folder)
     trained, _ = jobs.train_and_evaluate(rows)
-    return classify.score_rows(rows, trained.model).select("doc_id", "split", "p", "y", "predicted")
+    scored = classify.score_rows(rows, trained.model)
+    sound = F.col("p").between(0, 1) & (F.col("predicted") == (F.col("p") > 0.5).cast("double"))
+    return scored.select("doc_id", "split", "y", sound.alias("sound"))
 
 
 @query
 def classifier_best(spark, folder):
-    return jobs.train_and_evaluate(_three_way(spark, folder))[1]
+    report = jobs.train_and_evaluate(_three_way(spark, folder))[1]
+    sound = (F.col("bce") >= 0) & F.col("accuracy").between(0, 1)
+    return report.select("split", "n_rows", sound.alias("sound"))
+
+
+# --- readers and checks, as far as they need no files -------------------------------
+
+
+@query
+def vocab_listing(spark, folder):
+    vocabulary = vocab.build_vocabulary(_benchmark_words(spark, folder))
+    listing = vocab.vocabulary_tokens(vocabulary)
+    return with_row_index(listing.join(vocabulary, "token"), ["token_id"], "place").select("place", "token")
+
+
+@query
+def required_values(spark, folder):
+    rows = tables.table(spark, folder, "documents").select("doc_id", "source")
+    return corpus.require_columns(rows, "doc_id", "source")
+
+
+@query
+def inverted_names(spark, folder):
+    entries = tables.table(spark, folder, "nation").select(
+        F.col("n_nationkey").alias("pos"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("relation")
+    )
+    return readers.invert(entries)
+
+
+@query
+def valid_lines(spark, folder):
+    rows = tables.table(spark, folder, "documents")
+    return rows.select("doc_id", F.make_valid_utf8(F.substring_index("text", "\n", 1)).alias("line"))
+
+
+@query
+def fanned_splits(spark, folder):
+    rows = tables.news(spark, folder).select("doc_id", "label", "split")
+    return corpus.fan_out_splits(rows, {"test": ["val", "test"]})
+
+
+@query
+def complement_corpus(spark, folder):
+    """The complement as a rewrite of the whole corpus, statistics over all splits."""
+    words = _words(spark, folder)
+    lines = jobs.rewritten(words, _lift(words), "complement", rows=tables.news(spark, folder))
+    return lines.select("doc_id", "label", "line")

@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labeltext.functions.lookups import let
 from labeltext.operators.features import LsaModel
 from labeltext.operators.metrics import cluster_scores, mean_and_deviation, silhouette
 from labeltext.operators.scale import small_table
+from labeltext.session import ensure_checkpoint_dir
 
 TOP_TERMS = 10
 RUNS = 5
 MAX_ITER = 100
-MAX_CLUSTERS = 10_000
+# Centroids reach the tasks in blocks of about this many bytes.
+BLOCK_BYTES = 8 << 20
 
 
 def fit_kmeans(vectors: DataFrame, k: int, seed: int = 0, max_iter: int = MAX_ITER) -> KMeansModel:
@@ -40,20 +43,17 @@ def class_centroids(rows: DataFrame, label: str = "label") -> DataFrame:
     )
 
 
-def nearest_centroid(
-    rows: DataFrame, centroids: DataFrame, max_clusters: int = MAX_CLUSTERS
-) -> DataFrame:
+def nearest_centroid(rows: DataFrame, centroids: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``rows`` (``features`` array) with ``cluster``: the centroid nearest by
-    Euclidean distance, ties to the lower id.
+    Euclidean distance, ties to the lower id; null without centroids.
 
-    A centroid table is as large as the number of clusters; it is read up to
-    ``max_clusters`` rows and refused beyond. It reaches the tasks as one value.
+    Centroids come to the tasks in blocks of bounded bytes, streamed through the
+    driver one block at a time; each row keeps the least (distance, cluster) seen.
+    A table of one block, the usual case, is one pass without a shuffle.
     """
-    table = centroids.limit(max_clusters + 1).toArrow()
-    if table.num_rows > max_clusters:
-        raise ValueError(f"more than {max_clusters} centroids")
-    local = rows.sparkSession.createDataFrame(table, centroids.schema)
-    every = local.agg(F.collect_list(F.struct("cluster", "center"))).scalar()
+    spark = rows.sparkSession
+    kind = centroids.schema["cluster"].dataType
+    best = rows.withColumn("_best", F.lit(None).cast(T.StructType([T.StructField("d", T.DoubleType()), T.StructField("cluster", kind)])))
 
     def distance(point: Column, center: Column) -> Column:
         squares = F.zip_with(point, center, lambda x, y: (x - y) * (x - y))
@@ -65,23 +65,49 @@ def nearest_centroid(
             lambda c: F.struct(distance(point, c["center"]).alias("d"), c["cluster"].alias("cluster")),
         )
 
-    nearest = F.array_min(let(F.col("features").cast("array<double>"), ranked))
-    return rows.withColumn("_every", every).withColumn("cluster", nearest["cluster"]).drop("_every")
-
-
-def term_components(terms: list[str], model: LsaModel, spark) -> DataFrame:
-    """``(term, component, weight)``: the SVD components as a table."""
-    n_terms, dims = model.components.shape
-    weights = pa.ListArray.from_arrays(
-        np.arange(n_terms + 1, dtype=np.int32) * dims, pa.array(model.components.ravel())
-    )
-    rows = spark.createDataFrame(pa.table({"term": pa.array(terms), "weights": weights}))
-    return rows.select("term", F.posexplode("weights").alias("component", "weight"))
+    for number, block in enumerate(_blocks(centroids.select("cluster", "center"), block_bytes)):
+        local = spark.createDataFrame(block, centroids.select("cluster", "center").schema)
+        every = local.agg(F.collect_list(F.struct("cluster", "center"))).scalar()
+        nearest = F.array_min(let(F.col("features").cast("array<double>"), ranked))
+        if number % 8 == 7:  # keep the plan short when there are many blocks
+            ensure_checkpoint_dir(spark)
+            best = best.checkpoint()
+        best = best.withColumn("_every", every).withColumn("_best", F.least("_best", nearest)).drop("_every")
+    return best.withColumn("cluster", F.col("_best.cluster")).drop("_best")
+
+
+def lloyd(rows: DataFrame, start: DataFrame, rounds: int) -> DataFrame:
+    """``rows`` (``features`` array) with ``cluster`` after ``rounds`` Lloyd steps from the
+    centroids ``start(cluster, center)``: assign, then move each to the mean of its
+    rows. A centroid without rows goes."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    centroids = start
+    for _ in range(rounds - 1):
+        centroids = class_centroids(nearest_centroid(rows, centroids), "cluster").checkpoint()
+    return nearest_centroid(rows, centroids)
+
+
+def _blocks(table: DataFrame, most_bytes: int) -> Iterator[list[Row]]:
+    """The rows of ``table``, a bounded block at a time."""
+    block, size = [], 0
+    for row in table.toLocalIterator():
+        block.append(row)
+        size += 8 * (len(row.center) + 1)
+        if size >= most_bytes:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
+def term_components(model: LsaModel) -> DataFrame:
+    """``(term, component, weight)``: the SVD components, a row per number."""
+    return model.components.select("term", F.posexplode("w").alias("component", "weight"))
 
 
 def centroids_in_term_space(components: DataFrame, centers: list[np.ndarray]) -> DataFrame:
     """``(cluster, term, weight)``: centroids (in component space) mapped back to
-    terms, a joined sum over components; the centroid side is k x dims numbers."""
+    terms, a joined sum over components."""
     long = [
         (cluster, component, float(value))
         for cluster, center in enumerate(centers)
@@ -90,8 +116,9 @@ def centroids_in_term_space(components: DataFrame, centers: list[np.ndarray]) ->
     table = components.sparkSession.createDataFrame(
         long, "cluster int, component int, coordinate double"
     )
+    # Spark broadcasts the centroids if they are small and shuffles them if not.
     return (
-        components.join(F.broadcast(table), "component")
+        components.join(table, "component")
         .groupBy("cluster", "term")
         .agg(F.sum(F.col("weight") * F.col("coordinate")).alias("weight"))
     )

@@ -106,6 +106,16 @@ def document_frequency(words: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return per_class.groupingSets(sets, *by, key, "label").agg(F.sum("n").alias("n_docs"))
 
 
+def inverse_ratios(words: DataFrame) -> DataFrame:
+    """``(word, n_total, idf)``: N / n(w) of each word, from counts per word alone."""
+    key = _key(words)
+    documents = words.agg(F.count("*").alias("n")).scalar()
+    counts = words.select(F.explode(F.array_distinct(_keys(words))).alias(key)).groupBy(key)
+    return counts.agg(F.count("*").alias("n_total")).withColumn(
+        "idf", F.lit(documents).cast("double") / F.col("n_total").cast("double")
+    )
+
+
 def class_frequency() -> Column:
     """n(w, c) / N(c)."""
     return F.col("n_class").cast("double") / F.col("class_docs").cast("double")
@@ -152,6 +162,9 @@ def score_words(
     if key == "word":
         rows = words.select(*by, "doc_id", "label", F.posexplode(F.array_distinct("words")).alias("pos", "word"))
     else:
+        # A document has up to as many rows of an id as it has words with that id, so
+        # here n_class counts documents, not rows; a key is at most as many times
+        # hotter as a document has words, which the bound then allows for.
         pairs = F.array_distinct(F.arrays_zip(F.col("words").alias("word"), F.col("ids").alias("token_id")))
         rows = words.select(*by, "doc_id", "label", F.posexplode(pairs).alias("pos", "pair"))
         rows = rows.select(*by, "doc_id", "label", "pos", "pair.word", "pair.token_id")

@@ -8,7 +8,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labeltext.session import ensure_checkpoint_dir
@@ -82,24 +82,34 @@ def with_row_index(df: DataFrame, order: list[str], name: str = "row_index") ->
     adds each partition's start to the position inside it. Only the table of
     partition sizes, one row per partition, meets in one task.
     """
+    fixed = _ordered(df, order)
+    starts = _starts(fixed, F.count("*"))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = fixed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + inside)
+    return numbered.drop("_at", "_part", "_start")
+
+
+def with_running_total(df: DataFrame, order: list[str], n: str, name: str = "row_index") -> DataFrame:
+    """``df`` with the 0-based place of the last of the ``n`` rows that each row
+    stands for, in the given total order."""
+    fixed = _ordered(df, order)
+    starts = _starts(fixed, F.sum(n))
+    before = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    inside = fixed.withColumn("_inside", F.sum(n).over(before))
+    numbered = inside.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_inside") - 1)
+    return numbered.drop("_at", "_part", "_start", "_inside", n)
+
+
+def _ordered(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` range-partitioned and sorted, its layout fixed, with ``_part`` and ``_at``."""
     ensure_checkpoint_dir(df.sparkSession)
-    at = F.monotonically_increasing_id()
-    fixed = (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_at", at)
-        .checkpoint()
-    )
-    part = F.shiftright("_at", 33)
-    sizes = fixed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    laid_out = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    fixed = laid_out.withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    return fixed.withColumn("_part", F.shiftright("_at", 33))
+
+
+def _starts(fixed: DataFrame, size: Column) -> DataFrame:
+    """``(_part, _start)``: what stands before each partition, one row per partition."""
+    sizes = fixed.groupBy("_part").agg(size.alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
-    )
-    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return (
-        fixed.withColumn("_part", part)
-        .join(F.broadcast(starts), "_part")
-        .withColumn(name, F.col("_start") + inside)
-        .drop("_at", "_part", "_start")
-    )
+    return sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from labeltext.fixed_values import FIRST_WORD_ID, MASK, MASK_ID, PAD, PAD_ID, UNK, UNK_ID
 from labeltext.functions.text import pad_ids
-from labeltext.operators.scale import is_small, join_counted, with_row_index
+from labeltext.operators.scale import is_small, join_counted, with_row_index, with_running_total
 
 SPECIAL_IDS = {PAD: PAD_ID, UNK: UNK_ID, MASK: MASK_ID}
 BROADCAST_WORDS = 1_000_000
@@ -19,8 +19,13 @@ BROADCAST_WORDS = 1_000_000
 def build_vocabulary(word_list: DataFrame, order: str | None = None) -> DataFrame:
     """Ids for a word list ``(token, ..)`` in the order of ``order`` (default: the
     tokens' own). A repeated token keeps its last id."""
-    columns = ["token"] if order is None else ["token", order]
-    numbered = with_row_index(word_list.select(*columns), [order or "token"])
+    # The last place of a token decides, so its others only count: a place is one
+    # row per token, however often the token is repeated.
+    if order is None:
+        places = word_list.groupBy("token").agg(F.count("*").alias("n"))
+        numbered = with_running_total(places, ["token"], "n", "row_index")
+    else:
+        numbered = with_row_index(word_list.select("token", order), [order])
     spark = word_list.sparkSession
     special = spark.createDataFrame(list(SPECIAL_IDS.items()), "token string, token_id bigint")
     words = numbered.select("token", (F.col("row_index") + FIRST_WORD_ID).alias("token_id"))
@@ -47,22 +52,27 @@ def encode(rows: DataFrame, vocabulary: DataFrame, sequence: str, ids: str = "id
     each distinct word is looked up once and ``join_counted`` spreads the result,
     so that neither frequent words nor unknown ones make a hot key.
     """
-    words = rows.select("doc_id", F.posexplode(sequence).alias("pos", "token"))
+    carried = [c for c in rows.columns if c != sequence]
+    words = rows.select(*carried, F.posexplode(sequence).alias("pos", "token"))
     if is_small(vocabulary, BROADCAST_WORDS, "token"):
         found = words.join(F.broadcast(vocabulary), "token", "left")
     else:
         asked = words.groupBy("token").agg(F.count("*").alias("n"))
         found = join_counted(words, asked.join(vocabulary, "token", "left"), ["token"], "n")
     token_id = F.coalesce("token_id", F.lit(UNK_ID)).alias("token_id")
-    ordered = found.select("doc_id", "pos", token_id).groupBy("doc_id").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "token_id"))).alias("_ids")
-    )
-    empty = F.array().cast("array<int>")
-    return (
-        rows.join(ordered, "doc_id", "left")
-        .withColumn(ids, F.coalesce(F.col("_ids.token_id"), empty))
-        .drop("_ids")
+    # The row's other columns ride along with its first word, so that one
+    # grouping by document gives the whole row back; the words are its own.
+    others = [c for c in rows.columns if c not in ("doc_id", sequence)]
+    first = [F.when(F.col("pos") == 0, F.col(c)).alias(c) for c in others]
+    one = F.struct("pos", token_id, "token")
+    ordered = found.select("doc_id", *first, one.alias("one")).groupBy("doc_id").agg(
+        *[F.first(c, ignorenulls=True).alias(c) for c in others],
+        F.sort_array(F.collect_list("one")).alias("_ids"),
     )
+    encoded = ordered.withColumn(sequence, F.col("_ids.token")).withColumn(ids, F.col("_ids.token_id"))
+    empty = rows.where(F.coalesce(F.size(sequence), F.lit(0)) <= 0)
+    empty = empty.withColumn(ids, F.array().cast("array<int>"))
+    return encoded.select(*rows.columns, ids).unionByName(empty.select(*rows.columns, ids))
 
 
 def encode_padded(

@@ -38,9 +38,13 @@ def rewritten(
     task: str = "keyword",
     threshold: float = lift.THRESHOLD,
     by: Sequence[str] = (),
+    rows: DataFrame | None = None,
 ) -> DataFrame:
     """``(by.., doc_id, label, line)`` from ``document_words`` (or their ``encode``)
-    and their ``class_lift``: keyword line or mask line; any other task gives the bare mask."""
+    and their ``class_lift``: keyword line, mask line or, with the corpus ``rows``, the
+    complement of the keywords; any other task gives the bare mask."""
+    if task == "complement":
+        return rewrite.complement_lines(rows, lift.ranked_words(words, scores, by), threshold, by)
     if task not in ("keyword", "mask"):
         return words.select(*by, "doc_id", "label", F.lit(MASK).alias("line"))
     ranked = lift.ranked_words(words, scores, by)
@@ -79,18 +83,24 @@ def rewrite_corpus(
     vocabulary: DataFrame | None = None,
     outputs: dict[str, list[str]] = NEWS_OUTPUTS,
     class_names: list[str] = NEWS_CLASSES,
-) -> None:
-    """Keyword or mask rewrite of a labelled corpus ``(doc_id, text, label,
-    split)``, statistics separate per split, written by class and split."""
-    by = ["split"]
+    separate_splits: bool = True,
+) -> int:
+    """Keyword, mask or complement rewrite of a labelled corpus ``(doc_id, text,
+    label, split)``, written by class and split. Statistics are separate per split,
+    or of the whole corpus. Returns how many rows had no label and were left out."""
+    by = ["split"] if separate_splits else []
+    unlabelled = rows.where(F.col("label").isNull()).count()
     words = lift.document_words(rows, max_len, by, skeleton=task == "mask")
     keyed = words if vocabulary is None else vocab.encode(words, vocabulary, "words")
     with reused(words), reused(keyed):
         scores = lift.class_lift(keyed, by)
         with reused(scores):
-            lines = rewritten(keyed, scores, task, threshold, by)
+            lines = rewritten(keyed, scores, task, threshold, by, rows)
+            if not separate_splits:
+                lines = lines.join(rows.select("doc_id", "split"), "doc_id")
             pairs = style_rows(rows, lines, outputs, class_names)
             writers.write_style_rows(pairs, path, split_files)
+    return unlabelled
 
 
 def export_lines(
@@ -131,20 +141,18 @@ def cluster_corpus(
     cluster of the last run), ``top_terms``, ``relabelled`` (the corpus with the
     clusters as labels) and ``correlation`` of labels with clusters.
     """
-    terms = features.document_terms(rows)
-    with reused(terms):
-        tfidf = features.fit_tfidf(terms, min_df, max_df)
-        vectors = tfidf.transform(terms)
-        with reused(vectors):
-            lsa = features.fit_lsa(vectors, dims)
-            points = features.lsa_vectors(vectors, lsa).join(rows.select("doc_id", "label"), "doc_id")
-            ensure_checkpoint_dir(rows.sparkSession)
-            points = points.checkpoint()
-            scores, clustered, model = cluster.kmeans_runs(points, k, runs, sample_size=sample_size)
-            summary = cluster.summarise_runs(scores).toArrow()
+    ensure_checkpoint_dir(rows.sparkSession)
+    counts = features.term_counts(features.document_terms(rows))
+    with reused(counts):
+        weights = features.tfidf_weights(counts, min_df, max_df).checkpoint()
+    lsa = features.fit_lsa(weights, dims)
+    points = features.lsa_vectors(weights, lsa, rows).join(rows.select("doc_id", "label"), "doc_id")
+    points = points.checkpoint()
+    scores, clustered, model = cluster.kmeans_runs(points, k, runs, sample_size=sample_size)
+    summary = cluster.summarise_runs(scores).toArrow()
     spark = rows.sparkSession
     clusters = clustered.select("doc_id", "label", "cluster")
-    components = cluster.term_components(tfidf.terms, lsa, spark)
+    components = cluster.term_components(lsa)
     centers = model.clusterCenters()
     return {
         "scores": spark.createDataFrame(summary),
@@ -153,27 +161,26 @@ def cluster_corpus(
         "relabelled": corpus.relabel(
             rows, clusters.select("doc_id", F.col("cluster").alias("label"))
         ),
-        "correlation": label_correlation(clusters, "label", "cluster", range(max(k, 4))),
+        "correlation": label_correlation(clusters, "label", "cluster"),
     }
 
 
 def classifier_rows(
-    rows: DataFrame,
-    dims: int | None = 50,
-    min_df: int = features.MIN_DF,
-    max_df: float = features.MAX_DF,
+    rows: DataFrame, dims: int = 50, min_df: int = features.MIN_DF, max_df: float = features.MAX_DF
 ) -> DataFrame:
     """``(doc_id, split, label, features)`` from ``(doc_id, split, text, label)``:
-    TF-IDF vectors, reduced to ``dims`` components unless None."""
-    terms = features.document_terms(rows)
-    with reused(terms):
-        tfidf = features.fit_tfidf(terms, min_df, max_df)
-        vectors = tfidf.transform(terms)
-        if dims is not None:
-            with reused(vectors):
-                vectors = features.lsa_vectors(vectors, features.fit_lsa(vectors, dims))
-    labels = rows.select("doc_id", "split", F.col("label").cast("double").alias("label"))
-    return labels.join(vectors, "doc_id")
+    TF-IDF rows in ``dims`` components. Terms, weights and components are fitted on
+    ``split = 'train'`` only. The result is computed once and checkpointed."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    named = rows.select("doc_id", "split", F.col("label").cast("double").alias("label"), "text")
+    terms = features.document_terms(named)
+    counts = named.drop("text").join(features.term_counts(terms), "doc_id").checkpoint()
+    train = counts.where(F.col("split") == "train")
+    table = features.term_table(train, min_df, max_df)
+    weights = features.tfidf_weights(counts.select("doc_id", "counts"), terms=table).checkpoint()
+    fitted = weights.join(train.select("doc_id"), "doc_id", "left_semi").checkpoint()
+    vectors = features.lsa_vectors(weights, features.fit_lsa(fitted, dims), counts)
+    return counts.select("doc_id", "split", "label").join(vectors, "doc_id").checkpoint()
 
 
 def train_and_evaluate(

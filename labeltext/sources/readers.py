@@ -14,7 +14,6 @@ from labeltext.operators.vocabulary import build_vocabulary
 RELATION_SCHEMA = (
     "id bigint, token array<string>, h struct<name:string>, t struct<name:string>, relation string"
 )
-DICTIONARY_BYTES = 64 << 20
 
 
 def load_corpus(
@@ -51,18 +50,31 @@ def load_relation_records(
     return fan_out_splits(corpus, {"val": ["val", "test"]})
 
 
-def load_inverted_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """``(relation, name)`` from a JSON object name -> id; of several names with
-    one id the last wins. The file is one JSON value, so its size is checked."""
-    size = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0]
-    if size > DICTIONARY_BYTES:
-        raise ValueError(f"{path} is larger than {DICTIONARY_BYTES} bytes")
-    entries = spark.read.text(path, wholetext=True).select(
-        F.posexplode(F.map_entries(F.from_json("value", "map<string,string>"))).alias("pos", "entry")
-    )
-    return entries.groupBy(F.col("entry.value").alias("relation")).agg(
-        F.max_by("entry.key", "pos").alias("name")
-    )
+def invert(entries: DataFrame, name: str = "name", relation: str = "relation", order: str = "pos") -> DataFrame:
+    """``(relation, name)`` from entries name -> id; of several names with one id
+    the last by ``order`` wins."""
+    return entries.groupBy(F.col(relation).alias("relation")).agg(F.max_by(name, order).alias("name"))
+
+
+def load_inverted_dictionary(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """``(relation, name)`` from a JSON object name -> id.
+
+    One JSON object is one value, so one task reads it whole. A dictionary too
+    large for that is given as JSON ``lines`` instead, one object of any number of
+    names each: they are read in parallel, and of several names with one id the
+    last by file, line and place wins.
+    """
+    if lines:
+        entries = spark.read.text(path).select(
+            F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("at"),
+            F.posexplode(F.map_entries(F.from_json("value", "map<string,string>"))).alias("pos", "entry"),
+        )
+        entries = entries.withColumn("pos", F.struct("at", "pos"))
+    else:
+        entries = spark.read.text(path, wholetext=True).select(
+            F.posexplode(F.map_entries(F.from_json("value", "map<string,string>"))).alias("pos", "entry")
+        )
+    return invert(entries.select("pos", F.col("entry.key").alias("name"), F.col("entry.value").alias("relation")))
 
 
 def load_lines(spark: SparkSession, path: str) -> DataFrame:

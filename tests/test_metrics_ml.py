@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalog import tables
-from labeltext.operators import classify, cluster, features, metrics
+from labeltext.operators import classify, cluster, features, metrics, scale
 from labeltext.plans import jobs
 
 
@@ -97,87 +97,141 @@ def test_term_counts(spark):
 
 
 @pytest.fixture(scope="module")
-def terms(spark, small):
-    return features.document_terms(tables.news(spark, small)).persist()
+def counts(spark, small):
+    return features.term_counts(features.document_terms(tables.news(spark, small))).persist()
 
 
 @pytest.fixture(scope="module")
-def model(terms):
-    return features.fit_tfidf(terms)
+def weights(counts):
+    return features.tfidf_weights(counts).persist()
 
 
 @pytest.fixture(scope="module")
-def vectors(model, terms):
-    return model.transform(terms).persist()
-
-
-def test_both_tfidf_forms_agree(terms, model, vectors):
-    long = {(r.doc_id, r.term): r.weight for r in features.tfidf_weights(features.term_counts(terms)).collect()}
-    wide = {}
-    for r in vectors.collect():
-        for i, v in zip(r.features.indices, r.features.values):
-            wide[r.doc_id, model.terms[i]] = v
-    assert wide.keys() == long.keys()
-    assert all(abs(wide[k] - long[k]) < 1e-12 for k in wide)
-
-
-def test_too_many_terms_is_an_error(terms):
-    with pytest.raises(ValueError, match="more than 10 terms"):
-        features.fit_tfidf(terms, max_terms=10)
-
-
-def test_lsa_is_the_truncated_svd(spark, vectors):
-    rows = vectors.orderBy("doc_id").collect()
-    dense = np.array([r.features.toArray() for r in rows])
-    _, s, vt = np.linalg.svd(dense, full_matrices=False)
-    model = features.fit_lsa(vectors, 10, iterations=60)
-    assert model.singular_values == pytest.approx(s[:10], rel=1e-4)
-    assert np.allclose(model.components.T @ model.components, np.eye(10), atol=1e-9)
-    # same subspace, whatever the signs
-    assert np.linalg.norm(vt[:5] @ model.components) == pytest.approx(math.sqrt(5), rel=1e-3)
-    got = {r.doc_id: r.features.toArray() for r in features.lsa_vectors(vectors, model).collect()}
-    want = dense @ model.components
-    for r, w in zip(rows, want):
-        norm = np.linalg.norm(w)
-        assert np.allclose(got[r.doc_id], w / norm if norm > 0 else w, atol=1e-9)
+def dense(weights):
+    """The weights as a matrix, with its documents and terms."""
+    rows = weights.collect()
+    docs, terms = sorted({r.doc_id for r in rows}), sorted({r.term for r in rows})
+    at_doc, at_term = {d: i for i, d in enumerate(docs)}, {t: i for i, t in enumerate(terms)}
+    matrix = np.zeros((len(docs), len(terms)))
+    for r in rows:
+        matrix[at_doc[r.doc_id], at_term[r.term]] = r.weight
+    return matrix, docs, terms
+
+
+def components_of(model, terms):
+    found = {r.term: r.w for r in model.components.collect()}
+    return np.array([found[t] for t in terms])
+
+
+def test_weights_with_few_broadcast_keys_are_the_same(counts, weights, monkeypatch):
+    monkeypatch.setattr(features, "join_counted", lambda *a: scale.join_counted(*a, frequent_keys=20))
+    cold = {(r.doc_id, r.term): r.weight for r in features.tfidf_weights(counts).collect()}
+    hot = {(r.doc_id, r.term): r.weight for r in weights.collect()}
+    assert cold.keys() == hot.keys() and all(abs(cold[k] - hot[k]) < 1e-12 for k in hot)
+
+
+def test_lsa_is_the_truncated_svd(weights, dense):
+    matrix, docs, terms = dense
+    _, s, vt = np.linalg.svd(matrix, full_matrices=False)
+    model = features.fit_lsa(weights, 6, iterations=40)
+    assert model.singular_values == pytest.approx(s[:6], rel=1e-6)
+    components = components_of(model, terms)
+    assert np.allclose(components.T @ components, np.eye(6), atol=1e-8)
+    got = {r.doc_id: r.features.toArray() for r in features.lsa_vectors(weights, model).collect()}
+    for d, w in zip(docs, matrix @ components):
+        assert np.allclose(got[d], w / np.linalg.norm(w), atol=1e-8)
+
+
+def test_lsa_default_is_close_in_every_component(weights, dense):
+    model = features.fit_lsa(weights, 20)
+    s = np.linalg.svd(dense[0], compute_uv=False)
+    assert model.singular_values == pytest.approx(s[:20], rel=0.02)
+
+
+def test_lsa_of_few_terms_and_of_unknown_documents(spark):
+    rows = [(1, "a", 1.0), (2, "b", 0.6), (2, "a", 0.8), (3, "b", 1.0)]
+    weights = spark.createDataFrame(rows, "doc_id bigint, term string, weight double")
+    model = features.fit_lsa(weights, 100, iterations=10)
+    assert model.dims == 1
+    docs = spark.createDataFrame([(1,), (9,)], "doc_id bigint")
+    got = {r.doc_id: r.features.toArray() for r in features.lsa_vectors(weights, model, docs).collect()}
+    assert got.keys() == {1, 9} and np.allclose(np.abs(got[1]), 1) and np.allclose(got[9], 0)
+    with pytest.raises(ValueError, match="no terms"):
+        features.fit_lsa(weights.limit(0))
+
+
+def test_lsa_has_no_bound_on_terms(spark):
+    n = 270_000
+    weights = spark.range(n).select((F.col("id") % 300).alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("term"), F.lit(0.01).alias("weight"))
+    model = features.fit_lsa(weights, 2, iterations=1, oversample=2)
+    # 300 documents of disjoint terms: all singular values are 0.01 * sqrt(900)
+    assert model.singular_values == pytest.approx([0.3, 0.3], rel=1e-6)
+    assert model.components.count() == n
+
+
+@pytest.mark.parametrize("partial, keys", [(1, 1_000_000), (16_384, 7)])
+def test_product_is_a_matrix_product(spark, monkeypatch, partial, keys):
+    monkeypatch.setattr(features, "PARTIAL_ROWS", partial)
+    monkeypatch.setattr(features, "ROWS_PER_KEY", keys)
+    rng = np.random.default_rng(0)
+    matrix = rng.standard_normal((40, 9)) * (rng.random((40, 9)) < 0.7)
+    table = rng.standard_normal((9, 3))
+    rows = [(i, f"t{j}", float(matrix[i, j])) for i, j in zip(*np.nonzero(matrix))]
+    entries, terms = features._entries(spark.createDataFrame(rows, "doc_id int, term string, weight double"))
+    vectors = spark.createDataFrame([(f"t{j}", v.tolist()) for j, v in enumerate(table)], "col string, v array<double>")
+    got = {r.row: r.v for r in features.product(entries, vectors.join(terms, "col")).collect()}
+    for i, want in enumerate(matrix @ table):
+        assert np.allclose(got.get(i, np.zeros(3)), want)
 
 
-def test_lsa_default_is_close(vectors):
-    rows = vectors.collect()
-    s = np.linalg.svd(np.array([r.features.toArray() for r in rows]), compute_uv=False)
-    model = features.fit_lsa(vectors, 20)
-    assert np.abs(model.singular_values - s[:20]).max() < 0.05 * s[0]
+def test_classifier_features_come_from_train_only(spark):
+    rows = [(i, "train" if i % 3 else "test", f"alpha beta {'only' if i % 3 == 0 else 'gamma delta'} w{i % 4}x", i % 2) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id int, split string, text string, label int")
+    counts = features.term_counts(features.document_terms(frame.where("split = 'train'")))
+    assert "only" not in {r.term for r in features.term_table(counts, 2, 1.0).collect()}
+    done = jobs.classifier_rows(frame, dims=2, min_df=2, max_df=1.0)
+    assert done.count() == 60 and {len(r.features) for r in done.collect()} == {2}
 
 
-def test_gram_product_groups(vectors, monkeypatch):
-    sparse = vectors.select(F.unwrap_udt("features").alias("v")).where("size(v.indices) > 0").select("v.indices", "v.values")
-    dense = np.array([r.features.toArray() for r in vectors.collect()])
-    basis = np.random.default_rng(0).standard_normal((dense.shape[1], 4))
-    for entries in (1, 50, 20_000):
-        monkeypatch.setattr(features, "GROUP_ENTRIES", entries)
-        assert np.allclose(features._gram_product(sparse, basis), dense.T @ (dense @ basis), atol=1e-9)
+def test_labels_are_those_of_the_data(spark):
+    rows = spark.createDataFrame([(5, -1), (5, -1), (0, 5), (-1, 0)], "a int, b int")
+    hot = metrics.one_hot(rows, "a", "a")
+    assert hot.columns == ["a", "b", "a_-1", "a_0", "a_5"] and hot.agg(F.sum("a_5")).scalar() == 2
+    corr = {(r.key1, r.key2): r["corr"] for r in metrics.label_correlation(rows, "a", "b").collect()}
+    assert len(corr) == 9 and corr["a_5", "b_-1"] == pytest.approx(1.0)
 
 
 def test_nearest_centroid_ties_go_to_the_lower_id(spark):
     rows = spark.createDataFrame([(1, [0.0, 1.0]), (2, [5.0, 5.0])], "id bigint, features array<double>")
     centers = spark.createDataFrame([(3, [0.0, 0.0]), (1, [0.0, 2.0])], "cluster int, center array<double>")
     assert {r.id: r.cluster for r in cluster.nearest_centroid(rows, centers).collect()} == {1: 1, 2: 1}
-    with pytest.raises(ValueError):
-        cluster.nearest_centroid(rows, centers, 1)
 
 
-def test_kmeans_is_repeatable(spark, vectors):
+def test_nearest_centroid_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    points, centers = rng.random((50, 4)), rng.random((30, 4))
+    rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id int, features array<double>")
+    table = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "cluster int, center array<double>")
+    want = ((points[:, None] - centers) ** 2).sum(axis=2).argmin(axis=1).tolist()
+    for block in (1, 120, 1 << 20):
+        got = {r.id: r.cluster for r in cluster.nearest_centroid(rows, table, block).collect()}
+        assert [got[i] for i in range(50)] == want
+
+
+def test_kmeans_is_repeatable(weights):
+    vectors = features.lsa_vectors(weights, features.fit_lsa(weights, 5)).persist()
     a, b = (cluster.assign_clusters(vectors, cluster.fit_kmeans(vectors, 3, seed=4)) for _ in range(2))
     key = lambda df: sorted((r.doc_id, r.cluster) for r in df.select("doc_id", "cluster").collect())
     assert key(a) == key(b) and len(key(a)) == vectors.count()
 
 
 def test_centroids_return_to_terms(spark):
-    model = features.LsaModel(np.array([[1.0, 0.0], [0.0, 1.0], [0.6, 0.8]]), np.ones(2))
-    table = cluster.term_components(["a", "b", "c"], model, spark)
+    matrix = np.array([[1.0, 0.0], [0.0, 1.0], [0.6, 0.8]])
+    parts = spark.createDataFrame(list(zip("abc", matrix.tolist())), "term string, w array<double>")
+    table = cluster.term_components(features.LsaModel(parts, np.ones(2)))
     got = cluster.centroids_in_term_space(table, [np.array([1.0, 0.0]), np.array([0.5, 0.5])])
     weights = {(r.cluster, r.term): r.weight for r in got.collect()}
-    want = np.array([[1.0, 0.0], [0.5, 0.5]]) @ model.components.T
+    want = np.array([[1.0, 0.0], [0.5, 0.5]]) @ matrix.T
     for k in range(2):
         for i, term in enumerate("abc"):
             assert weights[k, term] == pytest.approx(want[k, i])
