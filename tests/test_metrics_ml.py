@@ -176,7 +176,7 @@ def test_product_is_a_matrix_product(spark, monkeypatch, partial, keys):
     rng = np.random.default_rng(0)
     matrix = rng.standard_normal((40, 9)) * (rng.random((40, 9)) < 0.7)
     table = rng.standard_normal((9, 3))
-    rows = [(i, f"t{j}", float(matrix[i, j])) for i, j in zip(*np.nonzero(matrix))]
+    rows = [(int(i), f"t{j}", float(matrix[i, j])) for i, j in zip(*np.nonzero(matrix))]
     entries, terms = features._entries(spark.createDataFrame(rows, "doc_id int, term string, weight double"))
     vectors = spark.createDataFrame([(f"t{j}", v.tolist()) for j, v in enumerate(table)], "col string, v array<double>")
     got = {r.row: r.v for r in features.product(entries, vectors.join(terms, "col")).collect()}
@@ -196,7 +196,7 @@ def test_classifier_features_come_from_train_only(spark):
 def test_labels_are_those_of_the_data(spark):
     rows = spark.createDataFrame([(5, -1), (5, -1), (0, 5), (-1, 0)], "a int, b int")
     hot = metrics.one_hot(rows, "a", "a")
-    assert hot.columns == ["a", "b", "a_-1", "a_0", "a_5"] and hot.agg(F.sum("a_5")).scalar() == 2
+    assert hot.columns == ["a", "b", "a_-1", "a_0", "a_5"] and hot.agg(F.sum("a_5")).first()[0] == 2
     corr = {(r.key1, r.key2): r["corr"] for r in metrics.label_correlation(rows, "a", "b").collect()}
     assert len(corr) == 9 and corr["a_5", "b_-1"] == pytest.approx(1.0)
 
