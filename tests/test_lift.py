@@ -188,3 +188,30 @@ def test_small_table_and_spread(spark):
     assert sorted(r.id for r in small_table(df, 50).collect()) == list(range(50))
     one = spark.range(0, 100, 1, 1)
     assert spread(one, "id").count() == 100
+
+
+def test_lift_with_few_broadcast_keys_is_the_same(spark, small, monkeypatch):
+    words = lift.document_words(tables.news(spark, small)).persist()
+    scores = lift.class_lift(words).persist()
+    want = Counter(map(str, lift.ranked_words(words, scores).collect()))
+    monkeypatch.setattr(lift, "join_counted", lambda *a: join_counted(*a, frequent_keys=20))
+    assert Counter(map(str, lift.ranked_words(words, scores).collect())) == want
+
+
+def test_repeated_token_of_a_word_list(spark):
+    listed = spark.createDataFrame([("b",)] * 500 + [("a",), ("c",)], "token string")
+    found = {r.token: r.token_id for r in vocab.build_vocabulary(listed).collect()}
+    assert found == {"<pad>": 0, "<unk>": 1, "<mask>": 2, "a": 3, "b": 503, "c": 504}
+
+
+def test_encode_keeps_other_columns_and_wordless_rows(spark):
+    rows = [(1, "x", ["a", "z", "a"]), (2, None, []), (3, "y", None)]
+    frame = spark.createDataFrame(rows, "doc_id int, extra string, words array<string>")
+    vocabulary = vocab.build_vocabulary(spark.createDataFrame([("a", 0)], "token string, at int"), "at")
+    encoded = vocab.encode(frame, vocabulary, "words")
+    assert sorted(map(tuple, encoded.collect()), key=str) == [
+        (1, "x", ["a", "z", "a"], [3, 1, 3]), (2, None, [], []), (3, "y", None, [])
+    ]
+    # One grouping gives the rows back: no join of the result with its own input.
+    plan = encoded._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [doc_id") == 1

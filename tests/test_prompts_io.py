@@ -63,6 +63,8 @@ def test_relation_sources(spark, tmp_path):
     (tmp_path / "rel.json").write_text(json.dumps({"a": "P1", "b": "P2", "c": "P1"}, indent=1))
     names = readers.load_inverted_dictionary(spark, str(tmp_path / "rel.json"))
     assert dict(rows(names)) == {"P1": "c", "P2": "b"}
+    (tmp_path / "rel.jsonl").write_text('{"a": "P1", "b": "P2"}\n{"c": "P1"}\n{}\n')
+    assert dict(rows(readers.load_inverted_dictionary(spark, str(tmp_path / "rel.jsonl"), lines=True))) == {"P1": "c", "P2": "b"}
     jobs.export_lines(loaded, str(tmp_path / "out"), "wiki80", "text2rel", names)
     parts = text_files(tmp_path / "out" / "target")
     assert sum(len(p) for p in parts["split=test"]) == 2
@@ -152,7 +154,7 @@ def test_unknown_mode(spark, small, tmp_path):
         jobs.export_lines(tables.answers(spark, small), str(tmp_path), "wiki80", "text2rel")
 
 
-@pytest.mark.parametrize("task", ["keyword", "mask", "other"])
+@pytest.mark.parametrize("task", ["keyword", "mask", "complement", "other"])
 def test_rewrite_corpus(spark, small, tmp_path, task):
     rows_in = tables.news(spark, small)
     jobs.rewrite_corpus(rows_in, str(tmp_path), task)
@@ -168,6 +170,19 @@ def test_rewrite_corpus(spark, small, tmp_path, task):
             assert set(sum(source[key], [])) == {"<mask>"}
 
 
+def test_rewrite_corpus_with_statistics_of_all_splits(spark, small, tmp_path):
+    rows_in = tables.news(spark, small)
+    lost = rows_in.withColumn("label", F.when(F.col("doc_id") % 7 != 0, F.col("label")))
+    n = lost.where("label IS NULL").count()
+    assert jobs.rewrite_corpus(lost, str(tmp_path), separate_splits=False) == n > 0
+    words = lift.document_words(lost)
+    ranked = lift.ranked_words(words, lift.class_lift(words))
+    test = {r.doc_id for r in lost.where("split = 'test'").collect()}
+    want = sorted(r.line for r in rewrite.keyword_lines(ranked).collect() for _ in range(1 + (r.doc_id in test)))
+    parts = text_files(tmp_path / "source")
+    assert sorted(line for p in parts.values() for x in p for line in x) == want
+
+
 def test_rewrite_corpus_single_lines(spark, small, tmp_path):
     jobs.rewrite_corpus(tables.news(spark, small), str(tmp_path), split_files=False)
     parts = text_files(tmp_path / "pair")
