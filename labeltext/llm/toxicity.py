@@ -377,7 +377,17 @@ def fit(texts: list[str | None], toxic: np.ndarray, rounds: int = 3) -> Model:
     landmarks = Landmarks(kept[:MOST_LANDMARKS], sorted(set().union(*good)))
     landmarks.clean = []
     del bad, good, sets
-    vectors = landmarks.vectors([w[:LONGEST] for w in plains])
+    # Only words near a landmark have a vector; all others share the zero in row 0.
+    distinct = sorted({w[:LONGEST] for w in plains})
+    row_of, found = {}, [np.zeros((1, landmarks.whiten.shape[1]))]
+    for start in range(0, len(distinct), 8192):
+        part = distinct[start : start + 8192]
+        likeness = landmarks.similar(part)
+        near = np.flatnonzero(likeness.any(axis=1))
+        row_of |= {part[i]: len(row_of) + 1 + k for k, i in enumerate(near)}
+        found.append(likeness[near] @ landmarks.whiten)
+    vectors = np.concatenate(found)
+    vector_of = np.array([row_of.get(w[:LONGEST], 0) for w in plains])
     # Sentence vectors: sums of their words' vectors.
     codes = np.array([t for own in split for t in own], np.int64)
     new = np.zeros(len(codes), bool)
@@ -388,7 +398,8 @@ def fit(texts: list[str | None], toxic: np.ndarray, rounds: int = 3) -> Model:
     doc = of[starts]
     once = first_of_pairs(np.cumsum(new) - 1, codes)
     sentence = (np.cumsum(new) - 1)[once]
-    of_word = codes[once]
+    of_word = vector_of[codes[once]]
+    sentence, of_word = sentence[of_word > 0], of_word[of_word > 0]
     x = np.stack([np.bincount(sentence, v[of_word], len(starts)) for v in vectors.T], axis=1)
     names_one = np.isin(plains, chosen)[codes]
     positive = np.add.reduceat(names_one.astype(int), starts) > 0
