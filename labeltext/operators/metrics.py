@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labeltext.operators.scale import with_row_index
+from labeltext.session import ensure_checkpoint_dir
 
 LOG_FLOOR = -100.0
 
@@ -52,7 +53,8 @@ def label_correlation(
     A one-hot sum is a count, so the block follows from the contingency counts,
     joined with the grid of levels: one shuffle of pre-aggregated pairs.
     """
-    cells = contingency(rows, a, b).persist()
+    ensure_checkpoint_dir(rows.sparkSession)
+    cells = contingency(rows, a, b).checkpoint()
     if levels is None:
         levels = label_levels(cells, a, b)
     spark = rows.sparkSession
