@@ -177,9 +177,9 @@ def test_product_is_a_matrix_product(spark, monkeypatch, partial, keys):
     matrix = rng.standard_normal((40, 9)) * (rng.random((40, 9)) < 0.7)
     table = rng.standard_normal((9, 3))
     rows = [(int(i), f"t{j}", float(matrix[i, j])) for i, j in zip(*np.nonzero(matrix))]
-    entries, terms = features._entries(spark.createDataFrame(rows, "doc_id int, term string, weight double"))
+    entries, _, large = features._entries(spark.createDataFrame(rows, "doc_id int, term string, weight double"))
     vectors = spark.createDataFrame([(f"t{j}", v.tolist()) for j, v in enumerate(table)], "col string, v array<double>")
-    got = {r.row: r.v for r in features.product(entries, vectors.join(terms, "col")).collect()}
+    got = {r.row: r.v for r in features.product(entries, features._keyed(vectors, large)).collect()}
     for i, want in enumerate(matrix @ table):
         assert np.allclose(got.get(i, np.zeros(3)), want)
 
