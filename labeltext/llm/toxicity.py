@@ -19,8 +19,11 @@ Scoring runs in the rows' partitions: every distinct word of a task is scored
 once, a text costs table lookups. The kernel of a word and a landmark is computed
 if they share three telling letters (adjacent or with one letter between; triples
 that clean words are full of tell nothing) and taken as 0 else. A word counts once a sentence. Runs
-of single letters ("i d i o t") count as one more word, longer words than 48
-letters as overlapping windows.
+of single letters of one text ("i d i o t") count as one more word, longer words
+than 48 letters as overlapping windows. A run has the score of its worst window,
+among them all of a landmark's length, so an insult inside a spelled-out sentence
+is not diluted. Fitting reads the same windows and runs; a word or run has the
+vector of the window most like a landmark.
 
 Defined cases: null and empty texts get the score of a sentence without words;
 labels of null or of unknown rows are ignored, several labels of one id count as
@@ -33,7 +36,7 @@ from __future__ import annotations
 import re
 import sys
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -50,6 +53,7 @@ ORDER, DECAY, POWER = 3, 0.9, 6
 LONGEST = 48
 MOST_WORDS = 200_000
 CODES = 64
+BLOCK = 8192
 
 MARKS = re.compile(r"[\W_]+")
 
@@ -164,6 +168,19 @@ class Landmarks:
             out[rows[row], landmark] = (cross / np.sqrt(own[row_of] * self.own[landmark])) ** POWER
         return out
 
+    @property
+    def lengths(self) -> list[int]:
+        return sorted({min(len(w), LONGEST) for w in self.words})
+
+    def nearest(self, parts: Iterable[list[str]]) -> np.ndarray:
+        """Likeness of the word, of all in the lists, that is most like a landmark."""
+        best = np.zeros(len(self.words))
+        for words in parts:
+            likeness = self.similar(words)
+            one = likeness[likeness.max(axis=1).argmax()]
+            best = one if one.max() > best.max() else best
+        return best
+
     def vectors(self, words: list[str]) -> np.ndarray:
         return self.similar(words) @ self.whiten
 
@@ -199,12 +216,22 @@ def single(token: str) -> bool:
     return len(token) <= 2 and len(plain(token)) == 1 and plain(token).isalpha()
 
 
+def run_windows(run: str, lengths: list[int]) -> Iterator[list[str]]:
+    """Windows of a run of single letters, those of any of ``lengths`` at every
+    letter, in lists of bounded size."""
+    yield windows(run)
+    for n in lengths:
+        for at in range(0, len(run) - n + 1, BLOCK):
+            yield list({run[i : i + n] for i in range(at, min(at + BLOCK, len(run) - n + 1))})
+
+
 class WordTable(dict):
-    """Numbers tokens; a batch's new words are scored together by ``score``."""
+    """Numbers tokens; a batch's new words are scored together by ``score``.
+    ``lengths`` are those of the landmarks."""
 
-    def __init__(self, score):
+    def __init__(self, score, lengths: list[int] | None = None):
         super().__init__()
-        self.score, self.new = score, []
+        self.score, self.lengths, self.new = score, lengths or [], []
         self.value = np.zeros(0)
         self.end = np.zeros(0, bool)
         self.single = np.zeros(0, bool)
@@ -234,7 +261,7 @@ def first_of_pairs(sentence: np.ndarray, codes: np.ndarray) -> np.ndarray:
 def sentences(table: WordTable, texts: list[str | None]):
     """Scores of all sentences of the texts, and each sentence's text."""
     if len(table) > MOST_WORDS:
-        table = WordTable(table.score)
+        table = WordTable(table.score, table.lengths)
     codes, sizes, all_tokens = [], [], []
     for text in texts:
         own = tokens(text) if text else []
@@ -257,20 +284,39 @@ def sentences(table: WordTable, texts: list[str | None]):
     return total, doc[starts], table
 
 
+def spelled_out(alone: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last + 1 of each run of three or more single letters of one text."""
+    if not len(alone):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    on = np.zeros(len(alone) + 1, bool)  # the run goes on from the token before
+    on[1:-1] = alone[1:] & alone[:-1] & (doc[1:] == doc[:-1])
+    first, last = np.flatnonzero(alone & ~on[:-1]), np.flatnonzero(alone & ~on[1:]) + 1
+    long = last - first >= 3
+    return first[long], last[long]
+
+
 def _add_spelled_out(table, codes, doc, all_tokens, sizes, sentence, total) -> None:
-    """Adds to a sentence the score of each run of three or more single letters."""
-    alone = table.single[codes]
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], alone.astype(np.int8), [0]])))
-    first, last = edge[::2], edge[1::2]
-    long = (last - first >= 3) & (doc[first] == doc[np.maximum(last - 1, 0)]) if len(first) else np.zeros(0, bool)
-    if not long.any():
-        return
+    """Adds to a sentence the worst window's score of each run of three or more single letters."""
+    first, last = spelled_out(table.single[codes], doc)
     base = np.concatenate([[0], np.cumsum(sizes)])
-    runs = []
-    for a, b in zip(first[long], last[long], strict=True):
+    value = np.full(len(first), -np.inf)
+    parts, of = [], []
+
+    def settle():
+        if parts:
+            np.maximum.at(value, of, table.score(parts))
+            parts.clear()
+            of.clear()
+
+    for k, (a, b) in enumerate(zip(first, last, strict=True)):
         own = all_tokens[doc[a]][a - base[doc[a]] : b - base[doc[a]]]
-        runs.append(max(windows("".join(map(plain, own))), key=len))
-    np.add.at(total, sentence[first[long]], table.score(runs))
+        for some in run_windows("".join(map(plain, own)), table.lengths):
+            parts += some
+            of += [k] * len(some)
+            if len(parts) >= BLOCK:
+                settle()
+    settle()
+    np.add.at(total, sentence[first], value)
 
 
 @dataclass
@@ -284,10 +330,13 @@ class Model:
     def word_scores(self, words: list[str]) -> np.ndarray:
         if self.landmarks is None:
             return np.zeros(len(words))
-        return self.landmarks.vectors(words) @ self.weights
+        parts = [words[i : i + BLOCK] for i in range(0, len(words), BLOCK)]
+        return np.concatenate([np.zeros(0), *(self.landmarks.vectors(p) @ self.weights for p in parts)])
 
     def text_scores(self, table: WordTable, texts: list[str | None]) -> tuple[np.ndarray, WordTable]:
         """The worst sentence's score of each text, as a probability."""
+        if self.landmarks is not None:
+            table.lengths = self.landmarks.lengths
         total, doc, table = sentences(table, texts)
         worst = np.full(len(texts), -np.inf)
         np.maximum.at(worst, doc, total)
@@ -378,7 +427,7 @@ def fit(texts: list[str | None], toxic: np.ndarray, rounds: int = 3) -> Model:
     landmarks.clean = []
     del bad, good, sets
     # Only words near a landmark have a vector; all others share the zero in row 0.
-    distinct = sorted({w[:LONGEST] for w in plains})
+    distinct = sorted({w for w in plains if len(w) <= LONGEST})
     row_of, found = {}, [np.zeros((1, landmarks.whiten.shape[1]))]
     for start in range(0, len(distinct), 8192):
         part = distinct[start : start + 8192]
@@ -386,19 +435,31 @@ def fit(texts: list[str | None], toxic: np.ndarray, rounds: int = 3) -> Model:
         near = np.flatnonzero(likeness.any(axis=1))
         row_of |= {part[i]: len(row_of) + 1 + k for k, i in enumerate(near)}
         found.append(likeness[near] @ landmarks.whiten)
+    # Words longer than a window, and runs of single letters, by their nearest window.
+    codes = np.array([t for own in split for t in own], np.int64)
+    of = np.repeat(np.arange(len(texts)), [len(s) for s in split])
+    first, last = spelled_out(table.single[codes], of)
+    runs = ["".join(plains[t] for t in codes[a:b]) for a, b in zip(first, last, strict=True)]
+    wide = {w: [windows(w)] for w in plains if len(w) > LONGEST}
+    wide |= {(run,): run_windows(run, landmarks.lengths) for run in runs}
+    for name, parts in wide.items():
+        likeness = landmarks.nearest(parts)
+        if likeness.any():
+            row_of[name] = len(row_of) + 1
+            found.append(likeness[None] @ landmarks.whiten)
     vectors = np.concatenate(found)
-    vector_of = np.array([row_of.get(w[:LONGEST], 0) for w in plains])
+    vector_of = np.array([row_of.get(w, 0) for w in plains])
+    vector_of_run = np.array([row_of.get((run,), 0) for run in runs], np.int64)
     # Sentence vectors: sums of their words' vectors.
-    codes = np.array([t for own in split for t in own], np.int64)
     new = np.zeros(len(codes), bool)
-    of = np.repeat(np.arange(len(texts)), [len(s) for s in split])
     new[0] = True
     new[1:] = table.end[codes[:-1]] | (of[1:] != of[:-1])
     starts = np.flatnonzero(new)
     doc = of[starts]
-    once = first_of_pairs(np.cumsum(new) - 1, codes)
-    sentence = (np.cumsum(new) - 1)[once]
-    of_word = vector_of[codes[once]]
+    number = np.cumsum(new) - 1
+    once = first_of_pairs(number, codes)
+    sentence = np.concatenate([number[once], number[first]])
+    of_word = np.concatenate([vector_of[codes[once]], vector_of_run])
     sentence, of_word = sentence[of_word > 0], of_word[of_word > 0]
     x = np.stack([np.bincount(sentence, v[of_word], len(starts)) for v in vectors.T], axis=1)
     names_one = np.isin(plains, chosen)[codes]

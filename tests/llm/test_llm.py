@@ -395,6 +395,22 @@ def test_toxicity_tolerates_gaps(insulting):
     assert np.median(near) > 2 * np.quantile(clean, 0.9)
 
 
+def test_toxicity_of_spelled_out_runs(insulting):
+    model, rng = insulting
+    spell = lambda text: " ".join(text.replace(" ", ""))
+    late = [f"{words(rng, 4)} {spell(words(rng, 15) + b + words(rng, 3))} {words(rng, 4)}." for b in ("blockhead", "nitwit")]
+    # A run that ends a text and one that begins the next are two runs.
+    border = [f"{words(rng, 8)} {spell('nitwit')}", f"{spell('dimwit')} {words(rng, 8)}", f"{spell('you')} {words(rng, 8)}"]
+    got, table_ = model.text_scores(toxicity.WordTable(model.word_scores), late + border)
+    assert (got[:4] > 0.5).all() and got[4] < 0.5
+    assert np.allclose(got, [model.text_scores(table_, [t])[0][0] for t in late + border])
+    # Fitting reads runs too: every insult of the sample is spelled out but for a few.
+    plain = [words(rng, 40) + "." for _ in range(200)]
+    rude = [f"{words(rng, 20)}. {words(rng, 5)} {b} {words(rng, 5)}." for b in ["blockhead"] * 10 + [spell("blockhead")] * 110]
+    fitted = toxicity.fit(plain + rude, np.array([0] * 200 + [1] * 120))
+    assert (fitted.text_scores(toxicity.WordTable(fitted.word_scores), rude)[0] > 0.5).all()
+
+
 def test_kernel_is_the_sum_over_subsequences():
     def brute(s, t):
         def weights(x):
