@@ -16,9 +16,9 @@ text is clean; of a toxic text the sentence that names a covering word, later th
 one that scores highest, is toxic, the others are left out.
 
 Scoring runs in the rows' partitions: every distinct word of a task is scored
-once, a text costs table lookups. The kernel of a word and a landmark is computed
-if they share three telling letters (adjacent or with one letter between; triples
-that clean words are full of tell nothing) and taken as 0 else. A word counts once a sentence. Runs
+once, a text costs table lookups. Kernels of a word with all landmarks are exact: every
+three letters of the word, with whatever gaps, meet a table of the landmarks' own.
+A word counts once a sentence. Runs
 of single letters of one text ("i d i o t") count as one more word, longer words
 than 48 letters as overlapping windows. A run has the score of its worst window,
 among them all of a landmark's length, so an insult inside a spelled-out sentence
@@ -38,6 +38,8 @@ import sys
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cache
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +54,6 @@ COVERING, MOST_LANDMARKS, ALIKE = 64, 64, 0.65
 ORDER, DECAY, POWER = 3, 0.9, 6
 LONGEST = 48
 MOST_WORDS = 200_000
-CODES = 64
 BLOCK = 8192
 
 MARKS = re.compile(r"[\W_]+")
@@ -95,82 +96,77 @@ def kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     return total
 
 
+@cache
+def subsequences(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the letters of all ORDER = 3 subsequences of a word of ``n`` letters, and their weights."""
+    a, b, c = np.array(list(combinations(range(n), ORDER)), np.int32).reshape(-1, ORDER).T
+    return a, b, c, (DECAY ** (c - a + 1)).astype(np.float32)
+
+
 @dataclass
 class Landmarks:
     """Landmark words with what scoring a word against them needs."""
 
-    words: list[str]  # at most 64
-    clean: list[str]  # words of clean texts
-    spelled: np.ndarray = field(init=False)
-    own: np.ndarray = field(init=False)
+    words: list[str]  # at most 64, of at most LONGEST letters
+    alphabet: np.ndarray = field(init=False)  # sorted code points
+    triple_of: np.ndarray = field(init=False)  # number of each three letters, -1 for none
+    features: np.ndarray = field(init=False)  # of the landmarks: a row per three letters
     whiten: np.ndarray = field(init=False)
-    known: np.ndarray = field(init=False)
 
     def __post_init__(self):
-        self.spelled = letters(self.words)
-        self.own = np.maximum(kernel(self.spelled, self.spelled), 1e-12)
-        self.known = self._telling()
+        self.alphabet = np.unique(letters(self.words))
+        self.alphabet = self.alphabet[self.alphabet >= 0]
+        self.triple_of = np.arange((len(self.alphabet) + 1) ** 3, dtype=np.int32)
+        parts = [self._subsequences(letters([w])) for w in self.words]
+        own = np.maximum([kernel(letters([w]), letters([w]))[0] for w in self.words], 1e-12)
+        known = np.unique(np.concatenate([p[1] for p in parts]))
+        self.triple_of = np.full(len(self.triple_of), -1, np.int32)
+        self.triple_of[known] = np.arange(len(known))
+        self.features = np.zeros((len(known), len(self.words)), np.float32)
+        for number, (_, triple, weight) in enumerate(parts):
+            np.add.at(self.features[:, number], self.triple_of[triple], weight / np.sqrt(own[number]))
         self.whiten = np.eye(len(self.words))
         gram = word_likeness(self.words, self.words) ** POWER
         values, vectors = np.linalg.eigh(gram)
         kept = values > 1e-4
         self.whiten = vectors[:, kept] / np.sqrt(values[kept])
 
-    def _telling(self) -> np.ndarray:
-        """A bit per landmark for each letter triple: set for those of its triples
-        that less than 1 % of clean words have, its two rarest at least."""
-        usual = np.zeros(CODES**3)
-        for triple in self._triples(letters(self.clean or [""]), ((0, 1, 2),)):
-            usual += np.bincount(triple[triple >= 0], minlength=CODES**3)
-        known = np.zeros(CODES**3, np.uint64)
-        for number, word in enumerate(self.words):
-            for triple in self._triples(letters([word]), ((0, 1, 2),)):
-                own = np.unique(triple[triple >= 0])
-                own = own[np.argsort(usual[own], kind="stable")]
-                own = own[: max(2, int((usual[own] < 0.01 * len(self.clean)).sum()))]
-                known[own] |= np.uint64(1 << number)
-        return known
-
-    @staticmethod
-    def _triples(spelled: np.ndarray, strides) -> Iterator[np.ndarray]:
-        codes = np.where(spelled < 0, -1, spelled % CODES)
-        for a, b, c in strides:
-            n = spelled.shape[1] - c
-            if n > 0:
-                parts = codes[:, a : a + n], codes[:, b : b + n], codes[:, c : c + n]
-                packed = (parts[0] * CODES + parts[1]) * CODES + parts[2]
-                yield np.where(np.minimum(np.minimum(*parts[:2]), parts[2]) < 0, -1, packed)
-
-    def near(self, spelled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (row, landmark) that share a telling triple."""
-        found = np.zeros(len(spelled), np.uint64)
-        for triple in self._triples(spelled, ((0, 1, 2), (0, 2, 3), (0, 1, 3), (0, 2, 4))):
-            hits = np.where(triple >= 0, self.known[np.maximum(triple, 0)], np.uint64(0))
-            found |= np.bitwise_or.reduce(hits, axis=1)
-        rows = np.flatnonzero(found)
-        bits = (found[rows, None] >> np.arange(len(self.words), dtype=np.uint64)) & np.uint64(1)
-        row, landmark = np.nonzero(bits)
-        return rows[row], landmark
+    def _subsequences(self, spelled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, number and weight of every three letters, with whatever gaps, that a
+        landmark has too; the words are of one length."""
+        a, b, c, weight = subsequences(spelled.shape[1])
+        at = np.searchsorted(self.alphabet, spelled)
+        size = len(self.alphabet)
+        at[self.alphabet[np.minimum(at, size - 1)] != spelled] = size
+        at = at.astype(np.int32)
+        codes = self.triple_of[(at[:, a] * (size + 1) + at[:, b]) * (size + 1) + at[:, c]]
+        row, place = np.nonzero(codes >= 0)
+        return row, codes[row, place], weight[place]
 
     def similar(self, words: list[str]) -> np.ndarray:
-        """Normalised kernel to the power POWER of each word with each landmark near it."""
-        out = np.zeros((len(words), len(self.words)))
-        order = np.argsort([len(w) for w in words], kind="stable")
-        for start in range(0, len(order), 1024):
-            rows = order[start : start + 1024]
-            spelled = letters([words[i] for i in rows])
-            row, landmark = self.near(spelled)
-            if not len(row):
-                continue
-            used, row_of = np.unique(row, return_inverse=True)
-            own = np.maximum(kernel(spelled[used], spelled[used]), 1e-12)
-            cross = kernel(spelled[row], self.spelled[landmark])
-            out[rows[row], landmark] = (cross / np.sqrt(own[row_of] * self.own[landmark])) ** POWER
+        """Normalised kernel to the power POWER of each word, of at most LONGEST
+        letters, with each landmark."""
+        out = np.zeros((len(words), len(self.words)), np.float32)
+        sizes = np.array([len(w) for w in words], np.int64)
+        for n in np.unique(sizes[sizes >= ORDER]).tolist():
+            of_size = np.flatnonzero(sizes == n)
+            step = max(1, 300_000 // len(subsequences(n)[3]))
+            for start in range(0, len(of_size), step):
+                rows = of_size[start : start + step]
+                spelled = letters([words[i] for i in rows])
+                row, triple, weight = self._subsequences(spelled)
+                if not len(row):
+                    continue
+                first = np.flatnonzero(np.diff(row, prepend=-1))
+                used = row[first]
+                cross = np.add.reduceat(self.features[triple] * weight[:, None], first)
+                own = np.maximum(kernel(spelled[used], spelled[used]), 1e-12)
+                out[rows[used]] = (cross / np.sqrt(own)[:, None]) ** POWER
         return out
 
     @property
     def lengths(self) -> list[int]:
-        return sorted({min(len(w), LONGEST) for w in self.words})
+        return sorted({len(w) for w in self.words})
 
     def nearest(self, parts: Iterable[list[str]]) -> np.ndarray:
         """Likeness of the word, of all in the lists, that is most like a landmark."""
@@ -420,36 +416,23 @@ def fit(texts: list[str | None], toxic: np.ndarray, rounds: int = 3) -> Model:
     if not chosen:
         return none
     kept: list[str] = []
-    for word in chosen:
+    for word in dict.fromkeys(w for long in chosen for w in windows(long)):
         if not kept or word_likeness([word], kept).max() < ALIKE:
             kept.append(word)
-    landmarks = Landmarks(kept[:MOST_LANDMARKS], sorted(set().union(*good)))
-    landmarks.clean = []
+    landmarks = Landmarks(kept[:MOST_LANDMARKS])
     del bad, good, sets
-    # Only words near a landmark have a vector; all others share the zero in row 0.
-    distinct = sorted({w for w in plains if len(w) <= LONGEST})
-    row_of, found = {}, [np.zeros((1, landmarks.whiten.shape[1]))]
-    for start in range(0, len(distinct), 8192):
-        part = distinct[start : start + 8192]
-        likeness = landmarks.similar(part)
-        near = np.flatnonzero(likeness.any(axis=1))
-        row_of |= {part[i]: len(row_of) + 1 + k for k, i in enumerate(near)}
-        found.append(likeness[near] @ landmarks.whiten)
     # Words longer than a window, and runs of single letters, by their nearest window.
     codes = np.array([t for own in split for t in own], np.int64)
     of = np.repeat(np.arange(len(texts)), [len(s) for s in split])
     first, last = spelled_out(table.single[codes], of)
     runs = ["".join(plains[t] for t in codes[a:b]) for a, b in zip(first, last, strict=True)]
+    distinct = sorted({w for w in plains if len(w) <= LONGEST})
     wide = {w: [windows(w)] for w in plains if len(w) > LONGEST}
     wide |= {(run,): run_windows(run, landmarks.lengths) for run in runs}
-    for name, parts in wide.items():
-        likeness = landmarks.nearest(parts)
-        if likeness.any():
-            row_of[name] = len(row_of) + 1
-            found.append(likeness[None] @ landmarks.whiten)
-    vectors = np.concatenate(found)
-    vector_of = np.array([row_of.get(w, 0) for w in plains])
-    vector_of_run = np.array([row_of.get((run,), 0) for run in runs], np.int64)
+    row_of = {w: i for i, w in enumerate([*distinct, *wide])}
+    vector_of = np.array([row_of[w] for w in plains])
+    vector_of_run = np.array([row_of[(run,)] for run in runs], np.int64)
+    del row_of
     # Sentence vectors: sums of their words' vectors.
     new = np.zeros(len(codes), bool)
     new[0] = True
@@ -460,8 +443,16 @@ def fit(texts: list[str | None], toxic: np.ndarray, rounds: int = 3) -> Model:
     once = first_of_pairs(number, codes)
     sentence = np.concatenate([number[once], number[first]])
     of_word = np.concatenate([vector_of[codes[once]], vector_of_run])
-    sentence, of_word = sentence[of_word > 0], of_word[of_word > 0]
-    x = np.stack([np.bincount(sentence, v[of_word], len(starts)) for v in vectors.T], axis=1)
+    order = np.argsort(of_word, kind="stable")
+    sentence, of_word = sentence[order], of_word[order]
+    x = np.zeros((len(starts), landmarks.whiten.shape[1]))
+    blocks = ((at, landmarks.similar(distinct[at : at + BLOCK])) for at in range(0, len(distinct), BLOCK))
+    longer = ((len(distinct) + k, landmarks.nearest(p)[None]) for k, p in enumerate(wide.values()))
+    for at, likeness in chain(blocks, longer):  # a block's vectors at a time
+        lo, hi = np.searchsorted(of_word, [at, at + len(likeness)])
+        vectors = (likeness @ landmarks.whiten)[of_word[lo:hi] - at]
+        for k in range(vectors.shape[1]):
+            x[:, k] += np.bincount(sentence[lo:hi], vectors[:, k], len(starts))
     names_one = np.isin(plains, chosen)[codes]
     positive = np.add.reduceat(names_one.astype(int), starts) > 0
     from_toxic = toxic[doc].astype(bool)

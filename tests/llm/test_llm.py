@@ -429,6 +429,13 @@ def test_kernel_is_the_sum_over_subsequences():
     assert np.allclose(got, [brute(*p) for p in pairs], rtol=1e-4)
 
 
+def test_likeness_is_the_whole_kernel():
+    marks = toxicity.Landmarks(["idiot", "worthless", "naïve"])
+    spelled = ["ixdxxixxoxxt", "ixxdxxixxoxxt", "worthless", "wxoxrxtxhxlxexsxs", "naivë", "no", "", "ñ" * 48]
+    want = toxicity.word_likeness(spelled, marks.words) ** toxicity.POWER
+    assert np.allclose(marks.similar(spelled), want, rtol=1e-3, atol=0) and want[1, 0] > 0
+
+
 def test_toxicity_odd_rows(spark, insulting, odd, none, odd_texts):
     model, _ = insulting
     rows = toxicity.scores(odd, model).collect()
