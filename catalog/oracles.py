@@ -237,6 +237,9 @@ ORACLES: dict[str, str] = {
     "inverted_names": """SELECT n_regionkey AS relation, arg_max(n_name, n_nationkey) AS name
         FROM nation GROUP BY n_regionkey""",
     "valid_lines": "SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents",
+    "all_valid_lines": """WITH lines AS (
+          SELECT doc_id, string_split_regex(text, '\\r\\n|\\r|\\n') AS l FROM documents)
+        SELECT doc_id, CAST(unnest(range(len(l))) AS INT) AS line_number, unnest(l) AS line FROM lines""",
     "fanned_splits": f"""WITH {NEWS} SELECT doc_id, label, unnest(CASE split WHEN 'test' THEN ['val', 'test'] ELSE [split] END)
         AS split FROM news""",
     "class_keywords": f"""{with_lift()}

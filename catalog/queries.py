@@ -471,6 +471,14 @@ def valid_lines(spark, folder):
     return rows.select("doc_id", F.make_valid_utf8(F.substring_index("text", "\n", 1)).alias("line"))
 
 
+@query
+def all_valid_lines(spark, folder):
+    """Every line of every text; ``valid_lines`` has the first one only, as its SQL has."""
+    rows = tables.table(spark, folder, "documents")
+    lines = F.split(F.make_valid_utf8("text"), "\r\n|\r|\n", -1)
+    return rows.select("doc_id", F.posexplode(lines).alias("line_number", "line"))
+
+
 @query
 def fanned_splits(spark, folder):
     rows = tables.news(spark, folder).select("doc_id", "label", "split")

@@ -210,3 +210,13 @@ def test_rewrite_corpus_with_vocabulary(spark, small, tmp_path):
     )
     parts = text_files(tmp_path / "source")
     assert sorted(line for p in parts.values() for x in p for line in x) == want
+
+
+def test_all_valid_lines_returns_every_line(spark, tmp_path):
+    from catalog import queries
+
+    texts = [(1, "a\nb\r\nc\rd"), (2, "\n"), (3, ""), (4, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.all_valid_lines(spark, str(tmp_path)).collect()
+    got = sorted((r.doc_id, r.line_number, r.line) for r in rows)
+    assert got == [(1, 0, "a"), (1, 1, "b"), (1, 2, "c"), (1, 3, "d"), (2, 0, ""), (2, 1, ""), (3, 0, "")]
