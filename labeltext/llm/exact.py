@@ -6,10 +6,11 @@ with a count: however many copies a text has, at most one per task and 8 MB of
 input is shuffled. Rows are then dealt by (length, content hash) and sorted by
 it; the receiving task inserts the full byte strings into a trie, whose terminal
 nodes own the group: they hold the winning identifier and the number of rows.
-Equality is decided by the trie, never by the hash. As equal texts arrive next to
-each other, subtrees are finished in order: once the trie exceeds its budget it
-is given out and emptied at the next change of (length, hash), so its memory does
-not grow with the partition (Spark's own sort holds the rest and can spill).
+Equality is decided by the trie, never by the hash. There is
+no spill by subtree: the sort by (length, hash) takes its place. Equal texts arrive
+next to each other, so once the trie exceeds its budget the whole of it is final at
+the next change of (length, hash) and is given out and emptied; its memory does not
+grow with the partition, and what must spill is Spark's own sort.
 
 Defined cases: null and empty texts are equal; a null identifier loses to any
 other, and a group of null identifiers only has a null owner; rows that repeat
