@@ -6,7 +6,7 @@ on nothing else, and a chunk ends at the words whose value is the least of some
 ``WINDOW`` words in a row. Cuts therefore move with the text: an insertion
 changes the chunks around it only, and within a passage at most WINDOW - 1 words
 at either end (and the words of its first 16 bytes) lie outside chunks that
-every copy of the passage has. Chunks are 7 to 8 words long on average.
+every copy of the passage has. Chunks are 6 to 7 words long on average.
 
 Dedup. Chunks are compared by a 128-bit digest. Each document sends every
 distinct digest once; per digest the smallest document id owns it (combined
@@ -16,9 +16,12 @@ plain shuffles that adaptive execution splits where it is skewed. A chunk repeat
 if a document with a smaller id owns it, or if it stands earlier in its own
 document. Runs of repeated chunks of ``least_words`` words or more are cut out;
 shorter runs, such as phrases, stay. A digest's owner never loses it, so every
-passage stays somewhere. With ``least_words`` = 20 each repeated passage of 54
-words is found for certain (8 words of hash window, 2 * 13 of cut search), shorter
-ones down to 20 words with falling chance.
+passage stays somewhere. With ``least_words`` = 20 each repeated passage of 51
+words is found for certain: even of one-letter words at most 8 have a hash that
+reaches out of the passage, and between the first and the last certain cut lie
+51 - 8 - (2 * 12 - 1) = 20 words or more. Shorter ones down to 20 words are found
+with falling chance. The words of a found passage outside these cuts stay. Chunks
+end at white space only, so a passage without any is one word.
 
 Defined cases: null and empty texts have no chunks and stay as they are; a null
 id counts as larger than any other; rows with the same id never own each other's
@@ -40,7 +43,7 @@ from xxhash import xxh3_128_digest
 from labeltext.llm.common import checkpointed, fresh, mix64, slices, text_bytes
 
 HASH_BYTES = 16
-WINDOW = 14
+WINDOW = 12
 LEAST_WORDS = 20
 LAST_ID = (1 << 63) - 1
 

@@ -229,6 +229,18 @@ def test_chunks_find_every_passage_of_54_words():
         assert raw[start[0] : end[0]].decode().strip() in passage
 
 
+def test_chunks_find_every_passage_of_51_words_of_one_letter():
+    rng = random.Random(15)
+    for _ in range(1000):
+        passage, *around = (" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n)) for n in (51, 30, 30, 30, 30))
+        pair = [f"{around[0]} {passage} {around[1]}", f"{around[2]} {passage} {around[3]}"]
+        found = chunks.chunked(*common.text_bytes(pa.array(pair)))
+        digests = list(map(tuple, found.digest.tolist()))
+        first = {d for d, t in zip(digests, found.text, strict=True) if t == 0}
+        shared = np.array([t == 1 and d in first for d, t in zip(digests, found.text, strict=True)])
+        assert 1 in chunks.cut_runs(found, shared, chunks.LEAST_WORDS)[0]
+
+
 def test_substring_dedup_keeps_one_and_leaves_others(spark):
     rng = random.Random(6)
     passage, phrase = words(rng, 60), words(rng, 8)
