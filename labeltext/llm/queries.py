@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labeltext.llm import bpe, chat, chunks, exact, fingerprint, packing, quality, simhash, toxicity, url_rules
+from labeltext.llm import bpe, chat, chunks, exact, fingerprint, lexical, packing, quality, rules, simhash, toxicity, url_rules
 from labeltext.llm.common import documents, id_bucket
 
 SEQUENCE_TOKENS = 2048
@@ -120,6 +120,16 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.ranked(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"), k=20)
+
+
+def op13_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.judged(documents(spark, folder)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pattern_packing": op1_pattern_packing,
     "op2_bpe": op2_bpe,
@@ -131,6 +141,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_groups": op8_exact_groups,
     "op9_chat_format": op9_chat_format,
     "op10_quality": op10_quality,
+    "op11_lexical_search": op11_lexical_search,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 OP8_SQL = """
@@ -166,4 +178,65 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS
 FROM g
 """
 
-ORACLES: dict[str, str] = {"op8_exact_groups": OP8_SQL, "op9_chat_format": OP9_SQL}
+TERMS = r"""list_transform(regexp_extract_all(text, '[^\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+'),
+    lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))"""
+
+OP11_SQL = f"""
+WITH d AS (SELECT doc_id, {TERMS} AS terms FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, unnest({TERMS}) AS term FROM benchmark WHERE text IS NOT NULL),
+sizes AS (SELECT doc_id, len(terms)::BIGINT AS n FROM d WHERE len(terms) > 0),
+totals AS (SELECT count(*)::BIGINT AS N_docs, sum(n)::BIGINT AS L FROM sizes),
+tf AS (
+    SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM d)
+    WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+w AS (
+    SELECT term, floor(1000 * ln((2 * any_value(N_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+    FROM tf, totals GROUP BY term),
+m AS (SELECT doc_id, 100 - 25 + (25 * n * N_docs) // L AS m FROM sizes, totals),
+scores AS (
+    SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+    FROM i JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY ALL),
+places AS (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM places WHERE rank <= 20
+"""
+
+STOPS = ", ".join(f"'{w}'" for w in rules.STOP_WORDS)
+
+OP13_SQL = rf"""
+WITH t AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+        list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l
+    FROM documents
+), keys AS (
+    SELECT r, unnest(list_zip(w[:-3], w[2:-2], w[3:])) AS k, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) > 2
+), windows AS (
+    SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n FROM keys
+), repeated AS (
+    SELECT r, count(DISTINCT i + o) AS n FROM windows, (VALUES (0), (1), (2)) v(o) WHERE n > 1 GROUP BY r
+), c AS (
+    SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+        length(regexp_replace(text, '[^!]', '', 'g')) AS n_marks,
+        len(list_filter(w, lambda x: lower(x) IN ({STOPS}))) AS n_stops,
+        len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_letters,
+        len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
+        len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•‣·][\x20\x09]'))) AS n_bullets,
+        len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ellipses,
+        coalesce(repeated.n, 0) AS n_repeat_words
+    FROM t LEFT JOIN repeated USING (r)
+), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND word_chars >= 2 * n_words AND word_chars <= 15 * n_words AND 5 * n_symbols <= n_words
+        AND 10 * n_marks <= 3 * n_words AND n_stops >= 2 AND 10 * n_letters >= 6 * n_words
+        AND 2 * n_dup_lines <= n_lines AND 10 * n_bullets <= 9 * n_lines AND 10 * n_ellipses <= 3 * n_lines AS kept
+FROM b
+"""
+
+ORACLES: dict[str, str] = {
+    "op8_exact_groups": OP8_SQL,
+    "op9_chat_format": OP9_SQL,
+    "op11_lexical_search": OP11_SQL,
+    "op13_quality_rules": OP13_SQL,
+}
