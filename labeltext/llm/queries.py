@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labeltext.llm import bpe, chat, chunks, exact, fingerprint, lexical, packing, quality, rules, simhash, toxicity, url_rules
+from labeltext.llm import bpe, chat, chunks, exact, fingerprint, lexical, packing, prefix_trie, quality, rules, simhash, toxicity, url_rules
 from labeltext.llm.common import documents, id_bucket
 
 SEQUENCE_TOKENS = 2048
@@ -124,6 +124,12 @@ def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.ranked(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"), k=20)
 
 
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = spark.read.parquet(f"{folder}/conversations.parquet")
+    shared = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    return prefix_trie.trie(prefix_trie.rebuilt(turns, group=100, head_turns=shared, most_heads=5))
+
+
 def op13_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.judged(documents(spark, folder)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -142,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_format": op9_chat_format,
     "op10_quality": op10_quality,
     "op11_lexical_search": op11_lexical_search,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_quality_rules": op13_quality_rules,
 }
 
@@ -201,6 +208,47 @@ places AS (
 SELECT item_id, rank::INT AS rank, doc_id, score FROM places WHERE rank <= 20
 """
 
+OP12_SQL = """
+WITH t AS (
+    SELECT conv_id, struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS turn,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base, conv_id::VARCHAR AS s FROM t),
+c AS (
+    SELECT conv_id, base, xor(list_reduce(
+        list_prepend(4294967295, list_transform(range(1, length(s) + 1), lambda i: ascii(s[i])::BIGINT)),
+        lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+            lambda x, bit: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) % 6 AS h
+    FROM ids
+), r AS (
+    SELECT conv_id, pos, turn FROM c JOIN t USING (conv_id) WHERE pos > h
+    UNION ALL SELECT c.conv_id, pos, turn FROM c JOIN t ON t.conv_id = c.base WHERE pos <= h
+), s AS (
+    SELECT conv_id, coalesce(list(turn ORDER BY pos) FILTER (pos IS NOT NULL), []) AS turns
+    FROM c LEFT JOIN r USING (conv_id) GROUP BY conv_id
+), m AS (
+    SELECT conv_id, d, len(turns) AS n, sha256(to_json(turns[1:d])::VARCHAR) AS p,
+        CASE WHEN d > 0 THEN length(turns[d].text) ELSE 0 END AS chars
+    FROM (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS d FROM s)
+), nodes AS (
+    SELECT d, p, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS value,
+        coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '') AS ends
+    FROM m GROUP BY d, p
+), linked AS (
+    SELECT nodes.*, m.p AS parent FROM nodes LEFT JOIN m ON m.conv_id = nodes.conv_id AND m.d = nodes.d - 1
+), children AS (SELECT d - 1 AS d, parent AS p, count(*) AS n FROM linked WHERE d > 0 GROUP BY ALL),
+sums AS (
+    SELECT a.d, a.p, sum(v.value) AS saved, count(*) FILTER (children.n IS NULL) AS leaves
+    FROM nodes v LEFT JOIN children ON children.d = v.d AND children.p = v.p
+    JOIN m a ON a.conv_id = v.conv_id AND a.d <= v.d GROUP BY ALL
+)
+SELECT l.conv_id, l.d::BIGINT AS depth, u.conv_id AS parent_conv_id, l.n_convs, coalesce(children.n, 0) AS n_children,
+    sums.leaves AS n_leaves, sums.saved::BIGINT AS saved_tokens, sha256(l.ends) AS ends_sha256
+FROM linked l JOIN sums ON sums.d = l.d AND sums.p = l.p
+LEFT JOIN children ON children.d = l.d AND children.p = l.p
+LEFT JOIN nodes u ON u.d = l.d - 1 AND u.p = l.parent
+"""
+
 STOPS = ", ".join(f"'{w}'" for w in rules.STOP_WORDS)
 
 OP13_SQL = rf"""
@@ -238,5 +286,6 @@ ORACLES: dict[str, str] = {
     "op8_exact_groups": OP8_SQL,
     "op9_chat_format": OP9_SQL,
     "op11_lexical_search": OP11_SQL,
+    "op12_prefix_trie": OP12_SQL,
     "op13_quality_rules": OP13_SQL,
 }
