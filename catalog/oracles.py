@@ -16,10 +16,10 @@ def literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def words_of(text: str) -> str:
-    """Cased words of a text, as a list."""
-    spaced = f"(' ' || {text} || ' ')"
-    for _, pattern, replacement in WORD_STEPS:
+def words_of(text: str, spaced: str | None = None) -> str:
+    """Cased words of a text, as a list; ``spaced`` is the text after the first step."""
+    spaced = spaced_of(text) if spaced is None else spaced
+    for _, pattern, replacement in WORD_STEPS[1:]:
         spaced = (
             f"regexp_replace({spaced}, {literal(pattern)}, "
             f"{literal(replacement.replace('$', chr(92)))}, 'g')"
@@ -28,6 +28,11 @@ def words_of(text: str) -> str:
     return f"flatten(list_transform({split}, lambda w: string_split(w, '\\')))"
 
 
+def spaced_of(text: str) -> str:
+    _, pattern, replacement = WORD_STEPS[0]
+    return f"regexp_replace((' ' || {text} || ' '), {literal(pattern)}, {literal(replacement)}, 'g')"
+
+
 def lower_of(words: str) -> str:
     return f"list_transform({words}, lambda w: lower(w))"
 
@@ -86,6 +91,63 @@ def with_lift(scope: str = "") -> str:
     return f"WITH {WORDS}, {lift_ctes(scope)}"
 
 
+EDGES = "'^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$'"
+HAS_STOP = "regexp_matches({}, '[\\p{{L}}\\p{{N}}]\\.([^\\p{{L}}\\p{{N}}.][^\\p{{L}}\\p{{N}}]*)?$')"
+# Words of all texts with what stands before and after them; abbreviations and openers
+# after Kiss and Strunk (2006).
+SENTENCES = f"""pieces AS MATERIALIZED (
+  SELECT doc_id, list_filter(string_split_regex({spaced_of('text')}, ' +'), lambda p: p <> '') AS p FROM documents),
+places AS MATERIALIZED (
+  SELECT doc_id, i, piece, core, lower(core) AS type, {HAS_STOP.format('piece')} AS stop,
+         lag(piece) OVER w AS before, lag(core) OVER w AS core_before, lead(core) OVER w AS core_after,
+         regexp_matches(core, '^\\p{{Lu}}') AS capital
+  FROM (SELECT doc_id, i, piece, regexp_replace(piece, {EDGES}, '', 'g') AS core
+        FROM (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM pieces))
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+stops AS (
+  SELECT type, count(*) FILTER (stop) AS n_stop, count(*) FILTER (NOT stop) AS n_plain
+  FROM places WHERE type <> '' GROUP BY type),
+stop_share AS (SELECT sum(n_stop)::DOUBLE / sum(n_stop + n_plain)::DOUBLE AS p FROM stops),
+scored AS (
+  SELECT type, n_stop, n_plain, length(replace(type, '.', ''))::DOUBLE AS letters, length(type) - letters + 1 AS inner_stops,
+         -2 * (n_stop * ln(p) + CASE WHEN n_plain > 0 THEN n_plain * ln(1 - p) ELSE 0 END
+               - n_stop * ln(0.99::DOUBLE) - n_plain * ln(1 - 0.99::DOUBLE))
+           * exp(-letters) * inner_stops * pow(letters, -n_plain) AS score
+  FROM stops, stop_share WHERE n_stop > 0 AND regexp_matches(type, '^\\p{{L}}+(\\.\\p{{L}}+)*$')),
+short AS MATERIALIZED (SELECT type, n_stop, n_plain, score FROM scored WHERE score >= 0.3),
+short_list AS (SELECT coalesce(list(type), []) AS l FROM short),
+told AS MATERIALIZED (
+  SELECT places.*, stop AND list_contains(l, type) AS is_short,
+         coalesce({HAS_STOP.format('before')}, false) AS stop_before,
+         stop_before AND coalesce(list_contains(l, lower(core_before)), false) AS after_short,
+         NOT after_short AND (before IS NULL OR stop_before
+           OR regexp_matches(before, '([!?]|\\.\\.|…)[^\\p{{L}}\\p{{N}}]*$')) AS start
+  FROM places, short_list),
+follow AS (
+  SELECT type, count(*)::DOUBLE AS n, count(*) FILTER (start)::DOUBLE AS s,
+         count(*) FILTER (regexp_matches(core, '^\\p{{Ll}}')) AS n_lower,
+         count(*) FILTER (capital AND NOT start AND NOT after_short) AS n_inside,
+         count(*) FILTER (capital AND after_short) AS n_after_short
+  FROM told WHERE type <> '' GROUP BY type),
+all_words AS (SELECT sum(n) AS t, sum(s) AS b FROM follow),
+starters AS (
+  SELECT type, n_after_short, n_lower, n_inside, n / t AS p, s / nullif(b, 0) AS p1, (n - s) / nullif(t - b, 0) AS p2,
+         coalesce(2 * (
+           CASE WHEN s > 0 THEN s * ln(p1 / p) ELSE 0 END
+           + CASE WHEN b > s THEN (b - s) * ln((1 - p1) / (1 - p)) ELSE 0 END
+           + CASE WHEN n > s THEN (n - s) * ln(p2 / p) ELSE 0 END
+           + CASE WHEN t - b > n - s THEN (t - b - n + s) * ln((1 - p2) / (1 - p)) ELSE 0 END), 0) AS starter
+  FROM follow, all_words WHERE n_after_short > 0),
+openers AS MATERIALIZED (
+  SELECT type, n_after_short, starter FROM starters
+  WHERE (n_lower > 0 AND n_inside = 0) OR (starter >= 30 AND coalesce(p1 > p, false))),
+marked AS (
+  SELECT doc_id, ' ' || string_agg(CASE
+      WHEN is_short AND core_after IS NOT NULL
+        AND NOT (regexp_matches(core_after, '^\\p{{Lu}}') AND lower(core_after) IN (SELECT type FROM openers))
+      THEN regexp_replace(piece, '\\.([^\\p{{L}}\\p{{N}}.]*)$', chr(31) || '\\1') ELSE piece END, '  ' ORDER BY i) || ' ' AS spaced
+  FROM told GROUP BY doc_id)"""
+
 VOCAB = f"""listed AS (
   SELECT DISTINCT unnest({lower_of(words_of('text'))}) AS token FROM benchmark),
 vocab AS (
@@ -236,7 +298,6 @@ ORACLES: dict[str, str] = {
     "required_values": "SELECT doc_id, source FROM documents",
     "inverted_names": """SELECT n_regionkey AS relation, arg_max(n_name, n_nationkey) AS name
         FROM nation GROUP BY n_regionkey""",
-    "valid_lines": "SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents",
     "all_valid_lines": """WITH lines AS (
           SELECT doc_id, string_split_regex(text, '\\r\\n|\\r|\\n') AS l FROM documents)
         SELECT doc_id, CAST(unnest(range(len(l))) AS INT) AS line_number, unnest(l) AS line FROM lines""",
@@ -298,6 +359,11 @@ ORACLES: dict[str, str] = {
           ON f.name = w.split""",
     "tokens_cased": f"""SELECT doc_id, CAST(len(w) AS INT) AS n_tokens, array_to_string(w, ' ') AS tokens
         FROM (SELECT doc_id, {words_of('text')} AS w FROM documents)""",
+    "abbreviations": f"WITH {SENTENCES} SELECT type, n_stop, n_plain, round(score, 9) AS score FROM short",
+    "sentence_openers": f"WITH {SENTENCES} SELECT type, n_after_short, round(starter, 9) AS starter FROM openers",
+    "sentence_tokens": f"""WITH {SENTENCES}
+        SELECT doc_id, CAST(len(w) AS INT) AS n_tokens, replace(array_to_string(w, ' '), chr(31), '.') AS tokens
+        FROM (SELECT doc_id, {words_of('', "coalesce(spaced, '  ')")} AS w FROM documents LEFT JOIN marked USING (doc_id))""",
     "tokens_lower": f"""SELECT doc_id, CAST(len(w) AS INT) AS n_tokens, array_to_string(w, ' ') AS tokens
         FROM (SELECT doc_id, {lower_of(words_of('text'))} AS w FROM documents)""",
     "clean_lines": f"SELECT doc_id, {line_of('text')} AS line FROM documents",

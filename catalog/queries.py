@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from catalog import tables
 from labeltext.functions.line_patterns import single_line_pair
 from labeltext.functions.text import clean_line, lower_words, split_words
-from labeltext.operators import classify, cluster, corpus, features, lift, metrics, prompts, rewrite
+from labeltext.operators import classify, cluster, corpus, features, lift, metrics, prompts, rewrite, sentences
 from labeltext.operators import vocabulary as vocab
 from labeltext.operators.scale import with_row_index
 from labeltext.plans import jobs
@@ -185,6 +185,25 @@ def tokens_lower(spark, folder):
     return rows.select("doc_id", F.size("w").alias("n_tokens"), F.array_join("w", " ").alias("tokens"))
 
 
+@query
+def abbreviations(spark, folder):
+    found = sentences.abbreviations(kept(sentences.stop_counts(tables.texts(spark, folder))))
+    return rounded(found, "score")
+
+
+@query
+def sentence_openers(spark, folder):
+    return rounded(sentences.fit(tables.texts(spark, folder)).openers, "starter")
+
+
+@query
+def sentence_tokens(spark, folder):
+    """``tokens_cased`` with the stops of abbreviations kept inside a sentence."""
+    texts = tables.texts(spark, folder)
+    rows = sentences.sentence_words(texts.select("doc_id", "text"), sentences.fit(texts), "w")
+    return rows.select("doc_id", F.size("w").alias("n_tokens"), F.array_join("w", " ").alias("tokens"))
+
+
 @query
 def clean_lines(spark, folder):
     return tables.texts(spark, folder).select("doc_id", clean_line(F.col("text")).alias("line"))
@@ -465,15 +484,9 @@ def inverted_names(spark, folder):
     return readers.invert(entries)
 
 
-@query
-def valid_lines(spark, folder):
-    rows = tables.table(spark, folder, "documents")
-    return rows.select("doc_id", F.make_valid_utf8(F.substring_index("text", "\n", 1)).alias("line"))
-
-
 @query
 def all_valid_lines(spark, folder):
-    """Every line of every text; ``valid_lines`` has the first one only, as its SQL has."""
+    """Every line of every text, bad bytes replaced."""
     rows = tables.table(spark, folder, "documents")
     lines = F.split(F.make_valid_utf8("text"), "\r\n|\r|\n", -1)
     return rows.select("doc_id", F.posexplode(lines).alias("line_number", "line"))

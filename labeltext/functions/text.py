@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -18,29 +19,46 @@ from labeltext.fixed_values import (
 from labeltext.functions.lookups import let
 
 
-def _spaced(text: Column, *kinds: str) -> Column:
-    spaced = F.concat(F.lit(" "), text, F.lit(" "))
-    for kind, pattern, replacement in WORD_STEPS:
+# White space becomes blanks in the first step, so this character is free after it: it
+# stands for a full stop that stays with its word.
+KEPT_STOP = "\x1f"
+
+
+def _spaced(text: Column, *kinds: str, keep: Callable[[Column], Column] | None = None) -> Column:
+    spaced = blank_spaced(text)
+    if keep is not None:
+        spaced = keep(spaced)
+    for kind, pattern, replacement in WORD_STEPS[1:]:
         if kind in kinds:
             spaced = F.regexp_replace(spaced, pattern, replacement)
     return spaced
 
 
+def blank_spaced(text: Column) -> Column:
+    """The text between blanks, each run of white space as two blanks."""
+    _, pattern, replacement = WORD_STEPS[0]
+    return F.regexp_replace(F.concat(F.lit(" "), text, F.lit(" ")), pattern, replacement)
+
+
 def _contains_any(text: Column, parts: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in parts])
 
 
-def split_words(text: Column) -> Column:
+def split_words(text: Column, keep: Callable[[Column], Column] | None = None) -> Column:
     """Treebank-style words of a text, in order and with their case.
 
     Pieces around a backslash become words of their own; empty pieces stay. Steps
     that cannot match a text are left out for it, which a cheap scan decides.
+    ``keep`` maps the ``blank_spaced`` text to the same text with ``KEPT_STOP`` for
+    every full stop that is to stay with its word.
     """
     spaced = (
-        F.when(_contains_any(F.lower(text), FUSED_WORDS), _spaced(text, "always", "quote", "fused"))
-        .when(_contains_any(text, QUOTE_MARKS), _spaced(text, "always", "quote"))
-        .otherwise(_spaced(text, "always"))
+        F.when(_contains_any(F.lower(text), FUSED_WORDS), _spaced(text, "always", "quote", "fused", keep=keep))
+        .when(_contains_any(text, QUOTE_MARKS), _spaced(text, "always", "quote", keep=keep))
+        .otherwise(_spaced(text, "always", keep=keep))
     )
+    if keep is not None:
+        spaced = F.replace(spaced, F.lit(KEPT_STOP), F.lit("."))
     # The text starts with a blank, so the first piece is none of its words.
     pieces = F.split(F.rtrim(spaced), r" +|\\", -1)
     return let(pieces, lambda p: F.slice(p, 2, F.size(p)))
