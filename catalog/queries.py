@@ -357,9 +357,9 @@ def cluster_top_terms(spark, folder):
 
 def _points(spark: SparkSession, folder: str) -> tuple[features.LsaModel, DataFrame]:
     """100 components of all documents, and the documents in them."""
-    weights = kept(_weights(spark, folder))
-    model = features.fit_lsa(weights)
-    return model, kept(features.lsa_vectors(weights, model, tables.news(spark, folder)))
+    matrix = features.blocked(kept(_weights(spark, folder)))
+    model = features.fit_lsa(matrix)
+    return model, kept(features.lsa_vectors(matrix, model, tables.news(spark, folder)))
 
 
 @query

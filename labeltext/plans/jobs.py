@@ -145,8 +145,9 @@ def cluster_corpus(
     counts = features.term_counts(features.document_terms(rows))
     with reused(counts):
         weights = features.tfidf_weights(counts, min_df, max_df).checkpoint()
-    lsa = features.fit_lsa(weights, dims)
-    points = features.lsa_vectors(weights, lsa, rows).join(rows.select("doc_id", "label"), "doc_id")
+    matrix = features.blocked(weights)
+    lsa = features.fit_lsa(matrix, dims)
+    points = features.lsa_vectors(matrix, lsa, rows).join(rows.select("doc_id", "label"), "doc_id")
     points = points.checkpoint()
     scores, clustered, model = cluster.kmeans_runs(points, k, runs, sample_size=sample_size)
     summary = cluster.summarise_runs(scores).toArrow()

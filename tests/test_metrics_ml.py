@@ -169,19 +169,46 @@ def test_lsa_has_no_bound_on_terms(spark):
     assert model.components.count() == n
 
 
-@pytest.mark.parametrize("partial, keys", [(1, 1_000_000), (16_384, 7)])
-def test_product_is_a_matrix_product(spark, monkeypatch, partial, keys):
-    monkeypatch.setattr(features, "PARTIAL_ROWS", partial)
-    monkeypatch.setattr(features, "ROWS_PER_KEY", keys)
+@pytest.fixture(scope="module")
+def sparse(spark):
+    """A sparse matrix, a tall table for its terms, one of them unknown, and a frame of it."""
     rng = np.random.default_rng(0)
-    matrix = rng.standard_normal((40, 9)) * (rng.random((40, 9)) < 0.7)
-    table = rng.standard_normal((9, 3))
+    matrix = rng.standard_normal((400, 30)) * (rng.random((400, 30)) < rng.random(30))
+    matrix[7] = 0.0
+    matrix[7, 29] = 1.0
     rows = [(int(i), f"t{j}", float(matrix[i, j])) for i, j in zip(*np.nonzero(matrix))]
-    entries, _, large = features._entries(spark.createDataFrame(rows, "doc_id int, term string, weight double"))
-    vectors = spark.createDataFrame([(f"t{j}", v.tolist()) for j, v in enumerate(table)], "col string, v array<double>")
-    got = {r.row: r.v for r in features.product(entries, features._keyed(vectors, large)).collect()}
-    for i, want in enumerate(matrix @ table):
-        assert np.allclose(got.get(i, np.zeros(3)), want)
+    return matrix, rng.standard_normal((29, 3)), spark.createDataFrame(rows, "doc_id int, term string, weight double")
+
+
+@pytest.mark.parametrize("entries, step, frequent", [(1 << 20, 1 << 14, 10_000), (100, 7, 10_000), (100, 64, 5), (1, 1, 1)])
+def test_products_over_blocks(spark, sparse, monkeypatch, entries, step, frequent):
+    monkeypatch.setattr(features, "STEP", step)
+    monkeypatch.setattr(features, "FREQUENT_TERMS", frequent)
+    matrix, table, frame = sparse
+    known = matrix[:, :29]
+    blocks = features.blocked(frame, entries)
+    vectors = spark.createDataFrame([(f"t{j}", v.tolist()) for j, v in enumerate(table)], "term string, v array<double>")
+    vectors = vectors.join(blocks.terms, "term")
+    got = {r.doc_id: r.v for r in features.image(blocks, vectors).collect()}
+    assert got.keys() == set(np.flatnonzero((known != 0).any(axis=1)).tolist())
+    assert all(np.allclose(v, known[i] @ table) for i, v in got.items())
+    back = {r.term: r.v for r in features.normal_product(blocks, vectors, 3).collect()}
+    want = matrix.T @ (known @ table)
+    assert len(back) == 30 and all(np.allclose(back[f"t{j}"], want[j]) for j in range(30))
+    assert np.allclose(features.image_gram(blocks, vectors, 3), (known @ table).T @ (known @ table))
+
+
+def test_a_vector_is_sent_once_per_block_and_term(spark, sparse):
+    matrix, _, frame = sparse
+    blocks = features.blocked(frame, 1000)
+    dealt = frame.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks.blocks.count())).alias("block"), "term")
+    distinct = dealt.distinct().count()
+    vectors = blocks.terms.withColumn("v", F.array(F.lit(1.0)))
+    assert features.shipped(blocks, vectors).count() == distinct == blocks.needs.count()
+    assert distinct < frame.count()
+    # Sums come out once per block and term too, and are combined map-side before they move.
+    plan = features.normal_product(blocks, vectors, 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("partial_sum(v") < plan.index("FlatMapCoGroupsInArrow")
 
 
 def test_classifier_features_come_from_train_only(spark):
