@@ -7,23 +7,27 @@ conversation is its place in the list of attachments; the attachment keeps the
 part's kind and reference and counts the tokens that its placeholder expands to.
 
 The layout writes ``<|im_start|>role\\ncontent<|im_end|>\\n`` per turn. A ``<|``
-or a backslash inside a text, role or reference gets a backslash before its
-second or only character, so no control string can arise from content, and
-``plain`` undoes it exactly. The loss mask is a list of spans, in characters of
-the formatted string, that cover each assistant text once.
+or a backslash inside a text or role gets a backslash before its second or only
+character. Texts that stand next to each other are escaped together, not part by part,
+so no control string can arise from content, and ``plain`` undoes it exactly. The
+loss mask is a list of spans, in characters of the formatted string, that cover each
+assistant text once.
 
 Defined cases: a null text or part counts as empty, null content as no part, a
 null role as the empty role; turns with the same number are ordered by role, then
-content; an unknown kind of part is flattened like a text; rows with a null
-conversation id form one conversation; an empty table gives no conversations.
-A conversation is one output string, so its turns meet in one row by nature.
+content; an unknown kind of part is flattened like a text; a row without a
+conversation id is a conversation of its own, so that such rows, however many,
+never meet; an empty table gives no conversations. A conversation is one output
+string, so its turns meet in one row by nature; time grows as n log n in them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labeltext.functions.lookups import let
+
 # Control strings of the layout.
 START, END = "<|im_start|>", "<|im_end|>"
 MARKS = {"image": ("<|image_start|>", "<|image_end|>"), "audio": ("<|audio_start|>", "<|audio_end|>"), "document": ("<|doc_start|>", "<|doc_end|>")}
@@ -72,70 +76,75 @@ def expanded_tokens(part: Column) -> Column:
     return tokens
 
 
-def flattened(part: Column, ordinal: Column) -> Column:
-    """A part as text: itself, or a placeholder with its ordinal among the attachments."""
-    out = escaped(F.coalesce(part["text"], F.lit("")))
+def placeholder(part: Column, ordinal: Column) -> Column:
+    """What stands for an attached part, with its ordinal; null for other parts."""
+    out = F.lit(None).cast("string")
     for kind, (before, after) in MARKS.items():
         out = F.when(is_kind(part, kind), F.concat(F.lit(before), ordinal.cast("string"), F.lit(after))).otherwise(out)
     return out
 
 
 def visited(parts: Column, before: Column) -> Column:
-    """The flattened text of ``parts``, ``before`` attachments standing earlier."""
-    def visit(part: Column, i: Column) -> Column:
-        earlier = F.size(F.filter(F.slice(parts, 1, i), attached))
-        return flattened(part, before + earlier)
+    """The flattened text of ``parts``, ``before`` attachments standing earlier.
+
+    Texts between two attachments are put together first and escaped as one, so that
+    no control string can arise where they meet. Each part is read once.
+    """
+    def flat(every: Column, at: Column) -> Column:
+        def run(end: Column, k: Column) -> Column:
+            start = F.coalesce(F.get(at, k - 1) + 1, F.lit(0))
+            texts = F.transform(F.slice(every, start + 1, end - start), lambda p: F.coalesce(p["text"], F.lit("")))
+            mark = placeholder(F.get(every, end), before + k)
+            return F.concat(escaped(F.array_join(texts, "")), F.coalesce(mark, F.lit("")))
+
+        return F.array_join(F.transform(F.concat(at, F.array(F.size(every))), run), "")
 
-    return F.array_join(F.transform(parts, visit), "")
+    places = lambda every: F.array_compact(F.transform(every, lambda p, i: F.when(attached(p), i)))
+    return let(parts, lambda every: let(places(every), lambda at: flat(every, at)))
 
 
 def formatted(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", content: str = "content") -> DataFrame:
     """``(key, n_turns, formatted, loss_mask, attachments)``: a row per conversation.
 
     ``content`` is an array of parts (``PART``). ``loss_mask`` holds spans
-    (start, end), ``attachments`` rows (ordinal, turn, kind, ref, tokens).
+    (start, end), ``attachments`` rows (ordinal, turn, kind, ref, tokens). Places are
+    running sums over the turns, so the work grows with them and not with their square.
     """
     parts = F.coalesce(F.col(content).cast(f"array<{PART}>"), F.array().cast(f"array<{PART}>"))
-    row = F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), parts.alias("parts"))
-    grouped = turns.select(F.col(key).alias("_key"), row.alias("row")).groupBy("_key").agg(F.sort_array(F.collect_list("row")).alias("rows"))
-    count = lambda r: F.size(F.filter(r["parts"], attached))
-
-    def written(r: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(F.col("rows"), 1, i), F.lit(0), lambda n, x: n + count(x))
-        return F.struct(
-            r["turn"].alias("turn"), r["role"].alias("role"), r["parts"].alias("parts"), before.alias("before"),
-            F.concat(F.lit(START), escaped_role(r["role"]), F.lit("\n")).alias("head"), visited(r["parts"], before).alias("body"),
-        )
-
-    tail = F.lit(END + "\n")
-    blocks = grouped.select("_key", F.transform("rows", written).alias("blocks"))
-
-    def measured(total: Column, b: Column) -> Column:
-        start = total["at"] + F.char_length(b["head"])
-        end = start + F.char_length(b["body"])
-        span = F.struct(start.alias("start"), end.alias("end"))
-        spans = F.when(b["role"] == "assistant", F.concat(total["spans"], F.array(span))).otherwise(total["spans"])
-        return F.struct((end + len(END) + 1).alias("at"), spans.alias("spans"))
-
-    nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    listed = F.flatten(
-        F.transform(
-            "blocks",
-            lambda b: F.transform(
-                F.filter(b["parts"], attached),
-                lambda p, i: F.struct(
-                    (b["before"] + i).alias("ordinal"), b["turn"].alias("turn"), p["kind"].alias("kind"),
-                    p["ref"].alias("ref"), expanded_tokens(p).alias("tokens"),
-                ),
-            ),
-        )
+    rows = turns.select(
+        F.col(key).alias("_key"), F.when(F.col(key).isNull(), F.monotonically_increasing_id()).alias("_own"),
+        F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), parts.alias("parts"),
+    )
+    order = Window.partitionBy("_key", "_own").orderBy("turn", "role", "parts")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    sum_before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0)).cast("int")
+    counted = rows.withColumn("before", sum_before(F.size(F.filter("parts", attached))))
+    head = F.concat(F.lit(START), escaped_role(F.col("role")), F.lit("\n"))
+    written = counted.select(
+        "_key", "_own", "turn", "role", "parts", "before", head.alias("head"), visited(F.col("parts"), F.col("before")).alias("body")
+    )
+    tail = END + "\n"
+    length = F.char_length("head") + F.char_length("body") + len(tail)
+    start = sum_before(length) + F.char_length("head")
+    listed = F.transform(
+        F.filter("parts", attached),
+        lambda p, i: F.struct(
+            (F.col("before") + i).alias("ordinal"), F.col("turn").alias("turn"), p["kind"].alias("kind"),
+            p["ref"].alias("ref"), expanded_tokens(p).alias("tokens"),
+        ),
+    )
+    placed = written.select(
+        "_key", "_own", F.row_number().over(order).alias("n"), F.concat("head", "body", F.lit(tail)).alias("line"),
+        F.when(F.col("role") == "assistant", F.struct(start.alias("start"), (start + F.char_length("body")).alias("end"))).alias("span"),
+        listed.alias("listed"),
     )
-    return blocks.select(
+    grouped = placed.groupBy("_key", "_own").agg(F.sort_array(F.collect_list(F.struct("n", "line", "span", "listed"))).alias("lines"))
+    return grouped.select(
         F.col("_key").alias(key),
-        F.size("blocks").cast("long").alias("n_turns"),
-        F.array_join(F.transform("blocks", lambda b: F.concat(b["head"], b["body"], tail)), "").alias("formatted"),
-        F.aggregate("blocks", nothing, measured)["spans"].alias("loss_mask"),
-        listed.alias("attachments"),
+        F.size("lines").cast("long").alias("n_turns"),
+        F.array_join("lines.line", "").alias("formatted"),
+        F.array_compact("lines.span").alias("loss_mask"),
+        F.flatten("lines.listed").alias("attachments"),
     )
 
 
