@@ -570,4 +570,4 @@ def test_quality_odd_rows(spark, odd, none, odd_texts):
 
 def test_all_operators_are_registered():
     names = entry.queries()
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
