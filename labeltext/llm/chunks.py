@@ -154,12 +154,14 @@ def chunk_rows(docs: DataFrame, order: str, salt: str, text: str) -> DataFrame:
 
 
 def repeated_chunks(rows: DataFrame) -> DataFrame:
-    """``(owner, salt, chunks)``: the numbers of each row's chunks that a smaller id owns."""
+    """``(owner, salt, chunks)``: the numbers of each row's chunks that a smaller id owns.
+
+    Equal rows of one id have the same chunks, which count once, combined map-side."""
     owners = rows.groupBy("hi", "lo").agg(F.min("owner").alias("least"), F.max("owner").alias("most"))
     shared = checkpointed(owners.where("least < most").select("hi", "lo", "least"))
     found = rows.join(shared, ["hi", "lo"]).where("least < owner")
     salt, chunk = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(0xFFFFFFFF).cast("int")
-    return found.groupBy("owner", salt.alias("salt")).agg(F.collect_list(chunk).alias("chunks"))
+    return found.groupBy("owner", salt.alias("salt")).agg(F.collect_set(chunk).alias("chunks"))
 
 
 def cut_runs(found: Chunks, repeated: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
