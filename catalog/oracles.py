@@ -257,7 +257,33 @@ centers{i + 1} AS (SELECT cluster, d, avg(x) AS c FROM dims JOIN near{i} USING (
     return ",\n".join([*steps, last])
 
 
+def _five_runs(passes: int = 4) -> str:
+    """Five runs of so many Lloyd passes, and the clusters they end in; a cluster without
+    rows keeps its center."""
+    steps = ["""points AS (
+  SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS features FROM embeddings),
+dims AS (SELECT id, label, unnest(features) AS x, generate_subscripts(features, 1) AS d FROM points),
+centers0 AS (SELECT CAST(id % 5 AS INT) AS run, label AS cluster, d, avg(x) AS c FROM dims GROUP BY ALL)"""]
+    for i in range(passes + 1):
+        steps.append(f"""near{i} AS MATERIALIZED (
+  SELECT run, id, arg_min(cluster, (dist, cluster)) AS cluster
+  FROM (SELECT run, id, cluster, sum((x - c) * (x - c)) AS dist FROM dims JOIN centers{i} USING (d) GROUP BY ALL)
+  GROUP BY run, id)""")
+        steps.append(f"""centers{i + 1} AS MATERIALIZED (
+  SELECT run, cluster, d, coalesce(m.c, o.c) AS c FROM centers{i} o LEFT JOIN (
+    SELECT run, cluster, d, avg(x) AS c FROM near{i} JOIN dims USING (id) GROUP BY ALL) m USING (run, cluster, d))""")
+    return ",\n".join(steps[:-1])
+
+
 SPLIT3 = "CASE doc_id % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END"
+# The given network: 64 inputs, 5 rectified units, 1 sigmoid.
+NETWORK = """points AS (SELECT vec_id AS id, (label % 2)::DOUBLE AS y, CAST(embedding AS DOUBLE[]) AS f FROM embeddings),
+hidden AS (SELECT u::INT AS u, 0.1::DOUBLE * (u - 2) AS b, ((u % 3) - 1) / 2.0::DOUBLE AS v FROM range(5) r(u)),
+inputs AS (SELECT id, y, unnest(f) AS x, (generate_subscripts(f, 1) - 1)::INT AS i FROM points),
+sums AS (
+  SELECT id, y, u, v, b + sum(x * ((7 * u + 3 * i) % 11 - 5) / 20.0::DOUBLE) AS z FROM inputs, hidden GROUP BY id, y, u, v, b),
+units AS (SELECT id, y, u, v, greatest(z, 0) AS a FROM sums),
+scores AS (SELECT id, y, 1 / (1 + exp(-(0.05::DOUBLE + sum(v * a)))) AS p FROM units GROUP BY id, y)"""
 CLASS_MEANS = """sizes AS (SELECT label, count(*) AS n FROM news GROUP BY label),
 centroids AS (
   SELECT label AS cluster, term, round(sum(weight) / any_value(n), 9) AS weight
@@ -278,6 +304,40 @@ ORACLES: dict[str, str] = {
                round((p_cells - p_rows * p_cols / p_all)
                      / ((p_rows + p_cols) / 2 - p_rows * p_cols / p_all), 9) AS adjusted_rand
         FROM hc""",
+    "lloyd_runs": f"WITH {_five_runs()} SELECT run, id, cluster FROM near4",
+    "lloyd_run_centers": f"WITH {_five_runs()} SELECT run, cluster, CAST(d - 1 AS INT) AS dim, round(c, 9) AS value FROM centers4",
+    "lloyd_run_scores": f"""WITH {_five_runs()},
+        cells AS (SELECT run, label, cluster, count(*)::DOUBLE AS n FROM near4 JOIN points USING (id) GROUP BY ALL),
+        t AS (SELECT run, sum(n) AS t FROM cells GROUP BY run),
+        r AS (SELECT run, label, sum(n) AS m FROM cells GROUP BY ALL),
+        k AS (SELECT run, cluster, sum(n) AS m FROM cells GROUP BY ALL),
+        h AS (
+          SELECT run, (SELECT -sum(m / t.t * ln(m / t.t)) FROM r WHERE r.run = t.run) AS hl,
+                 (SELECT -sum(m / t.t * ln(m / t.t)) FROM k WHERE k.run = t.run) AS hc,
+                 (SELECT sum(c.n / t.t * ln(c.n * t.t / (r.m * k.m))) FROM cells c JOIN r USING (run, label)
+                  JOIN k USING (run, cluster) WHERE c.run = t.run) AS mi,
+                 (SELECT sum(n * (n - 1) / 2) FROM cells c WHERE c.run = t.run) AS pc,
+                 (SELECT sum(m * (m - 1) / 2) FROM r WHERE r.run = t.run) AS pr,
+                 (SELECT sum(m * (m - 1) / 2) FROM k WHERE k.run = t.run) AS pk, t.t * (t.t - 1) / 2 AS pa
+          FROM t),
+        s AS (SELECT id, features FROM points ORDER BY md5(id || '-0'), id LIMIT 2000),
+        apart AS (
+          SELECT p.id AS p, q.id AS q, sqrt(list_sum(list_transform(list_zip(p.features, q.features),
+                   lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS dist FROM s p CROSS JOIN s q),
+        sums AS (
+          SELECT a.run, p, a.cluster AS own, b.cluster AS other, count(*) AS n, sum(dist) AS total
+          FROM apart JOIN near4 a ON a.id = p JOIN near4 b ON b.id = q AND b.run = a.run GROUP BY ALL),
+        ab AS (
+          SELECT run, p, any_value(CASE WHEN own = other THEN n END) AS n_own,
+                 any_value(CASE WHEN own = other AND n > 1 THEN total / (n - 1) END) AS a,
+                 min(CASE WHEN own <> other THEN total / n END) AS b
+          FROM sums GROUP BY ALL)
+        SELECT run, unnest(['homogeneity', 'completeness', 'v_measure', 'adjusted_rand']) AS metric,
+               round(unnest([mi / hl, mi / hc, 2 * (mi / hl) * (mi / hc) / (mi / hl + mi / hc),
+                             (pc - pr * pk / pa) / ((pr + pk) / 2 - pr * pk / pa)]), 9) AS value FROM h
+        UNION ALL
+        SELECT run, 'silhouette', round(avg(CASE WHEN n_own = 1 THEN 0.0 ELSE (b - a) / greatest(a, b) END), 9)
+        FROM ab GROUP BY run""",
     "kmeans_runs": """SELECT unnest(['homogeneity', 'completeness', 'v_measure', 'adjusted_rand', 'silhouette']) AS metric,
         true AS sound""",
     "cluster_terms": """SELECT CAST(c AS INT) AS cluster, CAST(r AS INT) AS rank
@@ -294,6 +354,23 @@ ORACLES: dict[str, str] = {
         FROM documents JOIN labels USING (doc_id)""",
     "classifier_best": f"""SELECT {SPLIT3} AS split, count(*) AS n_rows, true AS sound
         FROM documents JOIN labels USING (doc_id) GROUP BY 1""",
+    "forward_scores": f"WITH {NETWORK} SELECT id, round(p, 9) AS p, y, (p > 0.5)::INT::DOUBLE AS predicted FROM scores",
+    "network_gradients": f"""WITH {NETWORK},
+        errors AS (SELECT id, u, a, p - s.y AS e, CASE WHEN a > 0 THEN (p - s.y) * v ELSE 0 END AS back
+                   FROM scores s JOIN units USING (id))
+        SELECT 0 AS layer, u AS unit, i AS input, round(avg(back * x), 9) AS gradient
+        FROM errors JOIN inputs USING (id) GROUP BY u, i
+        UNION ALL SELECT 0, u, -1, round(avg(back), 9) FROM errors GROUP BY u
+        UNION ALL SELECT 1, 0, u, round(avg(e * a), 9) FROM errors GROUP BY u
+        UNION ALL SELECT 1, 0, -1, round(avg(p - y), 9) FROM scores""",
+    "best_epoch": """WITH l AS (
+          SELECT CAST(floor(o_orderkey / 500) AS INT) AS epoch, round(avg(o_totalprice::DOUBLE), 2) AS val_loss
+          FROM orders GROUP BY 1),
+        m AS (SELECT *, min(val_loss) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS least FROM l),
+        n AS (SELECT *, max(CASE WHEN least IS NULL OR val_loss < least THEN epoch END) OVER (ORDER BY epoch) AS lowered FROM m)
+        SELECT epoch, val_loss, epoch - lowered >= 3 AS stop,
+               epoch = (SELECT arg_min(epoch, (val_loss, epoch)) FROM l) AS best FROM n""",
+    "network_floor": "SELECT vec_id % 5 AS fifth, count(*) AS n_rows, true AS better FROM embeddings GROUP BY 1",
     "vocab_listing": f"WITH {VOCAB} SELECT row_number() OVER (ORDER BY token_id) - 1 AS place, token FROM vocab",
     "required_values": "SELECT doc_id, source FROM documents",
     "inverted_names": """SELECT n_regionkey AS relation, arg_max(n_name, n_nationkey) AS name

@@ -9,14 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import tables
 from labeltext.functions.line_patterns import single_line_pair
 from labeltext.functions.text import clean_line, lower_words, split_words
-from labeltext.operators import classify, cluster, corpus, features, lift, metrics, prompts, rewrite, sentences
+from labeltext.operators import classify, cluster, corpus, features, lift, metrics, network, prompts, rewrite, sentences
 from labeltext.operators import vocabulary as vocab
 from labeltext.operators.scale import with_row_index
 from labeltext.plans import jobs
@@ -402,6 +404,36 @@ def lloyd_scores(spark, folder):
     return rounded(scores, *scores.columns)
 
 
+def _five_runs(spark: SparkSession, folder: str) -> tuple[DataFrame, cluster.Runs]:
+    """The vectors and five runs of four passes, each from the labels' means in a fifth of
+    the rows."""
+    rows = kept(tables.vectors(spark, folder))
+    fifths = rows.groupBy((F.col("id") % 5).cast("int").alias("run"), F.col("label").alias("cluster"))
+    mean = vector_to_array(Summarizer.mean(array_to_vector(F.col("features").cast("array<double>"))))
+    return rows, cluster.lloyd_runs(rows, fifths.agg(mean.alias("center")), max_iter=4, tolerance=0.0)[0]
+
+
+@query
+def lloyd_runs(spark, folder):
+    rows, runs = _five_runs(spark, folder)
+    return cluster.assign_runs(rows, runs).select("id", F.posexplode("clusters").alias("run", "cluster"))
+
+
+@query
+def lloyd_run_centers(spark, folder):
+    _, runs = _five_runs(spark, folder)
+    long = [(r, int(c), v.tolist()) for r, ids, x in zip(runs.names, runs.clusters, runs.centers, strict=True) for c, v in zip(ids, x, strict=True)]
+    centers = spark.createDataFrame(long, "run int, cluster int, center array<double>")
+    return rounded(centers.select("run", "cluster", F.posexplode("center").alias("dim", "value")), "value")
+
+
+@query
+def lloyd_run_scores(spark, folder):
+    rows, runs = _five_runs(spark, folder)
+    clustered = cluster.assign_runs(rows, runs).withColumnRenamed("id", "doc_id")
+    return rounded(cluster.run_scores(clustered), "value")
+
+
 @query
 def kmeans_runs(spark, folder):
     scores = jobs.cluster_corpus(tables.news(spark, folder), k=4)["scores"]
@@ -460,6 +492,56 @@ def classifier_best(spark, folder):
     return report.select("split", "n_rows", sound.alias("sound"))
 
 
+FIXED_LAYERS = [
+    [[0.1 * (u - 2), *[((7 * u + 3 * i) % 11 - 5) / 20 for i in range(64)]] for u in range(5)],
+    [[0.05, *[(u % 3 - 1) / 2 for u in range(5)]]],
+]
+
+
+def _fixed_network(spark: SparkSession, folder: str) -> tuple[DataFrame, network.Layers]:
+    """The vectors with the parity of their label, and given weights, through their table."""
+    rows = tables.vectors(spark, folder).withColumn("label", F.col("label") % 2)
+    table = network.to_table(spark, [np.array(layer) for layer in FIXED_LAYERS])
+    return rows, network.from_table(table)
+
+
+@query
+def forward_scores(spark, folder):
+    rows, layers = _fixed_network(spark, folder)
+    scored = network.score_rows(rows, layers)
+    return rounded(scored.select("id", "p", "y", "predicted"), "p")
+
+
+@query
+def network_gradients(spark, folder):
+    """The mean gradient for every weight, by errors sent back through the layers."""
+    rows, layers = _fixed_network(spark, folder)
+    grads, _, _ = network.gradients(rows, layers)
+    return rounded(network.to_table(spark, grads).withColumnRenamed("weight", "gradient"), "gradient")
+
+
+@query
+def best_epoch(spark, folder):
+    """Batches of 500 lines of orders stand for epochs, their mean price for the loss."""
+    orders = tables.table(spark, folder, "orders")
+    epoch = F.floor(F.col("o_orderkey") / 500).cast("int").alias("epoch")
+    losses = orders.groupBy(epoch).agg(F.round(F.avg(F.col("o_totalprice").cast("double")), 2).alias("val_loss"))
+    return network.best_epochs(losses, patience=3)
+
+
+@query
+def network_floor(spark, folder):
+    """A trained network must describe its rows better than the best constant does, in every
+    fifth of them."""
+    rows = kept(tables.vectors(spark, folder).withColumn("label", (F.col("label") < 5).cast("int")))
+    trained = network.train(rows, rows, epochs=2, steps=8)
+    share = F.lit(rows.agg(F.avg("label")).first()[0])
+    scored = network.score_rows(rows, trained.weights)
+    better = F.avg(metrics.cross_entropy(F.col("p"), F.col("y"))) < 0.9 * F.avg(metrics.cross_entropy(share, F.col("y")))
+    fifth = (F.col("id") % 5).alias("fifth")
+    return scored.groupBy(fifth).agg(F.count("*").alias("n_rows"), better.alias("better"))
+
+
 # --- readers and checks, as far as they need no files -------------------------------
 
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -15,13 +17,19 @@ from pyspark.sql import types as T
 
 from labeltext.functions.lookups import let
 from labeltext.operators.features import LsaModel
-from labeltext.operators.metrics import cluster_scores, mean_and_deviation, silhouette
+from labeltext.operators.metrics import cluster_scores, mean_and_deviation, silhouette_sample, silhouettes
 from labeltext.operators.scale import small_table
 from labeltext.session import ensure_checkpoint_dir
 
 TOP_TERMS = 10
 RUNS = 5
 MAX_ITER = 100
+# How far, at most, the centroids of a converged run move.
+TOLERANCE = 1e-4
+# Rows that the starts of all runs are drawn from.
+START_SAMPLE = 10_000
+# Numbers of the centroids of all runs that one pass may hold.
+RUN_BYTES = 64 << 20
 # Centroids reach the tasks in blocks of about this many bytes.
 BLOCK_BYTES = 8 << 20
 
@@ -87,6 +95,143 @@ def lloyd(rows: DataFrame, start: DataFrame, rounds: int) -> DataFrame:
     return nearest_centroid(rows, centroids)
 
 
+def seeded_starts(rows: DataFrame, k: int, runs: int = RUNS, sample_size: int = START_SAMPLE, key: str = "doc_id") -> DataFrame:
+    """``(run, cluster, center)``: at most ``k`` starts for each of ``runs`` runs, drawn by
+    k-means++ (Arthur & Vassilvitskii 2007) with the run's number as seed.
+
+    All runs draw from one sample: the first ``sample_size`` rows in an order hashed from
+    ``key``, which bounds what the driver reads. Fewer different rows give fewer starts.
+    """
+    vectors = rows.select(F.col(key).alias("id"), F.col("features").cast("array<double>").alias("features"))
+    sample = silhouette_sample(vectors, sample_size).toArrow().column("features").combine_chunks()
+    points = sample.flatten().to_numpy().reshape(len(sample), -1)
+    starts = []
+    for run in range(runs):
+        rng, chosen = np.random.default_rng(run), []
+        nearest = np.full(len(points), np.inf)
+        while len(chosen) < k and nearest.any():
+            chance = None if not chosen else nearest / nearest.sum()
+            chosen.append(int(rng.choice(len(points), p=chance)))
+            nearest = np.minimum(nearest, ((points - points[chosen[-1]]) ** 2).sum(axis=1))
+        starts += [(run, cluster, points[i].tolist()) for cluster, i in enumerate(chosen)]
+    return rows.sparkSession.createDataFrame(starts, "run int, cluster int, center array<double>")
+
+
+@dataclass
+class Runs:
+    """Centroids of several runs: per run the ids of its clusters and their centers."""
+
+    names: list[int]
+    clusters: list[np.ndarray]
+    centers: list[np.ndarray]
+
+    @property
+    def bytes(self) -> int:
+        return sum(c.nbytes for c in self.centers)
+
+
+def runs_of(starts: DataFrame, most_bytes: int = RUN_BYTES) -> Runs:
+    """``starts(run, cluster, center)`` in the driver. More than ``most_bytes`` of numbers
+    raise an error: every task holds all centroids of all runs."""
+    size = starts.agg(F.coalesce(F.sum(F.size("center")), F.lit(0))).first()[0] * 8
+    if size > most_bytes:
+        raise ValueError(f"{size} bytes of centroids, more than {most_bytes}: cluster fewer runs at a time")
+    by: dict[int, list[Row]] = {}
+    for row in starts.orderBy("run", "cluster").collect():
+        by.setdefault(row.run, []).append(row)
+    names = sorted(by)
+    return Runs(
+        names, [np.array([r.cluster for r in by[n]], np.int32) for n in names], [np.array([r.center for r in by[n]]) for n in names]
+    )
+
+
+def _nearest(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """The place of the nearest center of each point, the first of equal ones."""
+    out = np.empty(len(points), np.int64)
+    step = max(1, (1 << 20) // max(1, centers.size))
+    for a in range(0, len(points), step):
+        apart = points[a : a + step, None] - centers
+        out[a : a + step] = np.einsum("ijk,ijk->ij", apart, apart).argmin(axis=1)
+    return out
+
+
+def _points(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("features").flatten().to_numpy().reshape(batch.num_rows, -1)
+
+
+def run_sums(rows: DataFrame, runs: Runs, active: list[int], width: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Per active run the number of rows of each cluster and the sum of their features,
+    from one pass over ``rows`` for all runs together. A task adds up its own first."""
+    shared = rows.sparkSession.sparkContext.broadcast([runs.centers[i] for i in active])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = shared.value
+        sums = [np.zeros((len(c), width + 1)) for c in every]
+        for batch in batches:
+            points = _points(batch) if batch.num_rows else np.zeros((0, width))
+            for centers, total in zip(every, sums, strict=True):
+                near = _nearest(points, centers)
+                total[:, 0] += np.bincount(near, minlength=len(centers))
+                order = np.argsort(near, kind="stable")
+                first = np.flatnonzero(np.diff(near[order], prepend=-1))
+                if len(first):
+                    total[near[order][first], 1:] += np.add.reduceat(points[order], first, axis=0)
+        which = np.concatenate([np.full(len(s), i, np.int32) for i, s in enumerate(sums)])
+        place = np.concatenate([np.arange(len(s), dtype=np.int32) for s in sums])
+        values = np.concatenate(sums).ravel()
+        at = np.arange(len(which) + 1, dtype=np.int32) * (width + 1)
+        lists = pa.ListArray.from_arrays(pa.array(at), pa.array(values))
+        yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(place), lists], ["run", "place", "v"])
+
+    partial = rows.select(F.col("features").cast("array<double>").alias("features")).mapInArrow(run, "run int, place int, v array<double>")
+    summed = partial.groupBy("run", "place").agg(*[F.sum(F.col("v")[i]).alias(f"s{i}") for i in range(width + 1)])
+    out = {i: (np.zeros(len(runs.centers[i])), np.zeros_like(runs.centers[i])) for i in active}
+    for row in summed.collect():
+        counts, sums = out[active[row.run]]
+        counts[row.place], sums[row.place] = row[2], row[3:]
+    shared.unpersist()
+    return out
+
+
+def lloyd_runs(rows: DataFrame, starts: DataFrame, max_iter: int = MAX_ITER, tolerance: float = TOLERANCE) -> tuple[Runs, int]:
+    """``(centroids, passes)``: Lloyd's iteration of every run of ``starts(run, cluster,
+    center)``, all runs in the same passes over ``rows`` (``features``; persist those).
+
+    A cluster without rows keeps its centroid. A run whose centroids all move by at most
+    ``tolerance`` has converged and takes no part in further passes; there are at most
+    ``max_iter`` of them, whatever the number of runs.
+    """
+    runs = runs_of(starts)
+    active, passes = list(range(len(runs.names))), 0
+    while active and passes < max_iter:
+        width = runs.centers[active[0]].shape[1]
+        sums = run_sums(rows, runs, active, width)
+        passes += 1
+        moving = []
+        for i in active:
+            counts, total = sums[i]
+            new = np.where(counts[:, None] > 0, total / np.maximum(counts, 1)[:, None], runs.centers[i])
+            if ((new - runs.centers[i]) ** 2).sum(axis=1).max() > tolerance**2:
+                moving.append(i)
+            runs.centers[i] = new
+        active = moving
+    return runs, passes
+
+
+def assign_runs(rows: DataFrame, runs: Runs) -> DataFrame:
+    """``rows`` with ``clusters``: the nearest centroid's id in every run, in their order."""
+    shared = rows.sparkSession.sparkContext.broadcast((runs.clusters, runs.centers))
+
+    @F.pandas_udf("array<int>")
+    def nearest(features: pd.Series) -> pd.Series:
+        clusters, centers = shared.value
+        points = np.stack(features.to_numpy()) if len(features) else np.zeros((0, 1))
+        each = [ids[_nearest(points, c)] for ids, c in zip(clusters, centers, strict=True)] if len(points) else []
+        return pd.Series(list(np.stack(each, axis=1)) if each else [], dtype=object)
+
+    return rows.withColumn("clusters", nearest(F.col("features").cast("array<double>")))
+
+
 def _blocks(table: DataFrame, most_bytes: int) -> Iterator[list[Row]]:
     """The rows of ``table``, a bounded block at a time."""
     block, size = [], 0
@@ -153,36 +298,31 @@ def class_term_centroids(weights: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def run_scores(clustered: DataFrame, seed: int, sample_size: int = 2000) -> DataFrame:
-    """``(seed, metric, value)`` of one clustering ``(doc_id, features, label, cluster)``."""
-    external = cluster_scores(clustered, "label", "cluster")
-    names = external.columns
-    rows = external.select(
-        F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in names]))
-    )
-    points = clustered.select(
-        F.col("doc_id").alias("id"), vector_to_array("features").alias("features"), "cluster"
-    )
-    internal = silhouette(points, sample_size, seed).select(
-        F.lit("silhouette").alias("metric"), F.col("silhouette").alias("value")
-    )
-    return rows.unionByName(internal).select(F.lit(seed).alias("seed"), "metric", "value")
+def run_scores(clustered: DataFrame, sample_size: int = 2000) -> DataFrame:
+    """``(run, metric, value)`` of every run of ``(doc_id, features, label, clusters)``:
+    all runs are counted together and share one silhouette sample."""
+    long = clustered.select("label", F.posexplode("clusters").alias("run", "cluster"))
+    external = cluster_scores(long, "label", "cluster", ["run"])
+    names = [c for c in external.columns if c != "run"]
+    rows = external.unpivot("run", names, "metric", "value")
+    points = clustered.select(F.col("doc_id").alias("id"), "features", "clusters")
+    internal = silhouettes(points, sample_size).select("run", F.lit("silhouette").alias("metric"), F.col("silhouette").alias("value"))
+    return rows.unionByName(internal)
 
 
 def kmeans_runs(
     labelled: DataFrame, k: int, runs: int = RUNS, max_iter: int = MAX_ITER, sample_size: int = 2000
-) -> tuple[DataFrame, DataFrame, KMeansModel]:
-    """Refit over seeds 0..runs-1 on ``(doc_id, features, label)`` (persist those).
+) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Runs with seeds 0..runs-1 on ``(doc_id, features array, label)`` (persist those),
+    in one pass per iteration for all of them.
 
-    Returns the scores of every run, the rows clustered by the last run, and the
-    last model.
+    Returns the scores of every run, the rows with the last run's ``cluster``, and its
+    centers.
     """
-    scores = []
-    for seed in range(runs):
-        model = fit_kmeans(labelled, k, seed, max_iter)
-        clustered = assign_clusters(labelled, model)
-        scores.append(run_scores(clustered, seed, sample_size))
-    return reduce(DataFrame.unionByName, scores), clustered, model
+    found, _ = lloyd_runs(labelled, seeded_starts(labelled, k, runs), max_iter)
+    clustered = assign_runs(labelled, found)
+    last = clustered.withColumn("cluster", F.element_at("clusters", -1))
+    return run_scores(clustered, sample_size), last, found.centers[-1]
 
 
 def summarise_runs(scores: DataFrame) -> DataFrame:

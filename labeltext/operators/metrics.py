@@ -6,7 +6,7 @@ map-side pre-aggregation, and the formulas run on the counts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -71,16 +71,17 @@ def label_correlation(
     return wide.select(name(a, "i").alias("key1"), name(b, "j").alias("key2"), corr.alias("corr"))
 
 
-def cluster_scores(rows: DataFrame, label: str = "label", cluster: str = "cluster") -> DataFrame:
+def cluster_scores(
+    rows: DataFrame, label: str = "label", cluster: str = "cluster", by: Sequence[str] = ()
+) -> DataFrame:
     """Homogeneity, completeness, V-measure (Rosenberg & Hirschberg 2007) and
-    adjusted Rand index (Hubert & Arabie 1985), as one row."""
-    cells = contingency(rows, label, cluster).select(
-        label, cluster, F.col("n").cast("double").alias("n")
-    )
+    adjusted Rand index (Hubert & Arabie 1985), as one row, or one row per group of
+    ``by``: all groups are counted together."""
+    cells = rows.groupBy(*by, label, cluster).agg(F.count("*").cast("double").alias("n"))
     cells = cells.withColumns(
         {
-            "n_label": F.sum("n").over(Window.partitionBy(label)),
-            "n_cluster": F.sum("n").over(Window.partitionBy(cluster)),
+            "n_label": F.sum("n").over(Window.partitionBy(*by, label)),
+            "n_cluster": F.sum("n").over(Window.partitionBy(*by, cluster)),
         }
     )
 
@@ -89,7 +90,7 @@ def cluster_scores(rows: DataFrame, label: str = "label", cluster: str = "cluste
         return F.sum(F.col("n") * (F.col(m) - 1.0) / 2.0)
 
     # With N rows, sums of n ln n give every entropy without knowing N beforehand.
-    sums = cells.agg(
+    sums = cells.groupBy(*by).agg(
         F.sum("n").alias("total"),
         F.sum(F.col("n") * F.ln("n")).alias("s_cells"),
         F.sum(F.col("n") * F.ln("n_label")).alias("s_label"),
@@ -125,6 +126,7 @@ def cluster_scores(rows: DataFrame, label: str = "label", cluster: str = "cluste
     both = F.col("homogeneity") + F.col("completeness")
     chance = (F.col("p_label") + F.col("p_cluster")) / 2.0 - F.col("expected")
     return ratios.select(
+        *by,
         "homogeneity",
         "completeness",
         F.when(both > 0, 2.0 * F.col("homogeneity") * F.col("completeness") / both)
@@ -145,37 +147,49 @@ def silhouette_sample(rows: DataFrame, sample_size: int = 2000, seed: int = 0) -
 
 def silhouette(rows: DataFrame, sample_size: int = 2000, seed: int = 0) -> DataFrame:
     """Mean silhouette (Rousseeuw 1987), Euclidean, on a sample of
-    ``(id, features array, cluster)``, as one row.
+    ``(id, features array, cluster)``, as one row."""
+    one = silhouettes(rows.select("id", "features", F.array("cluster").alias("clusters")), sample_size, seed)
+    return one.agg(F.max("silhouette").alias("silhouette"))
+
+
+def silhouettes(rows: DataFrame, sample_size: int = 2000, seed: int = 0) -> DataFrame:
+    """``(run, silhouette)``: the mean silhouette of each run of ``(id, features array,
+    clusters array)``, where ``clusters`` holds a row's cluster in every run.
 
-    The sample is the operator's own bound: its at most ``sample_size`` vectors
-    are read once and shared with every task, and each sampled row sums its
-    distances to them by cluster. No pair of rows is ever a row.
+    The sample is the operator's own bound, and one sample serves all runs: its at most
+    ``sample_size`` vectors are read once and shared with every task, and each sampled row
+    measures its distances to them once and sums them by cluster for each run. No pair of
+    rows is ever a row.
     """
     spark = rows.sparkSession
     vectors = F.col("features").cast("array<double>").alias("features")
-    sample = silhouette_sample(rows.select("id", "cluster", vectors), sample_size, seed).toArrow()
+    sample = silhouette_sample(rows.select("id", "clusters", vectors), sample_size, seed).toArrow()
     if sample.num_rows == 0:
-        return spark.range(1).select(F.lit(None).cast("double").alias("silhouette"))
-    _, codes = np.unique(sample.column("cluster").to_numpy(), return_inverse=True)
+        return spark.createDataFrame([], "run int, silhouette double")
+    runs = sample.column("clusters").combine_chunks().flatten().to_numpy().reshape(sample.num_rows, -1).T
+    codes = [np.unique(run, return_inverse=True)[1] for run in runs]
     points = sample.column("features").combine_chunks().flatten().to_numpy()
     points = points.reshape(sample.num_rows, -1)
-    shared = spark.sparkContext.broadcast((points, codes, np.bincount(codes)))
+    shared = spark.sparkContext.broadcast((points, [(c, np.bincount(c)) for c in codes]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, group, sizes = shared.value
+        every, groups = shared.value
         for batch in batches:
-            scores = np.zeros(batch.num_rows)
+            scores = np.zeros((batch.num_rows, len(groups)))
             for i, at in enumerate(batch.column("id").to_numpy()):
                 distances = np.sqrt(((every - every[at]) ** 2).sum(axis=1))
-                sums = np.bincount(group, weights=distances, minlength=len(sizes))
-                own = group[at]
-                others = np.delete(sums / sizes, own)
-                if sizes[own] > 1 and len(others):
-                    a, b = sums[own] / (sizes[own] - 1), others.min()
-                    scores[i] = (b - a) / max(a, b) if max(a, b) > 0 else 0.0
-            yield pa.RecordBatch.from_arrays([pa.array(scores)], ["s"])
-
-    return spark.range(sample.num_rows).mapInArrow(score, "s double").agg(F.avg("s").alias("silhouette"))
+                for run, (group, sizes) in enumerate(groups):
+                    sums = np.bincount(group, weights=distances, minlength=len(sizes))
+                    own = group[at]
+                    others = np.delete(sums / sizes, own)
+                    if sizes[own] > 1 and len(others):
+                        a, b = sums[own] / (sizes[own] - 1), others.min()
+                        scores[i, run] = (b - a) / max(a, b) if max(a, b) > 0 else 0.0
+            run = np.tile(np.arange(len(groups), dtype=np.int32), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(scores.ravel())], ["run", "s"])
+
+    scored = spark.range(sample.num_rows).mapInArrow(score, "run int, s double")
+    return scored.groupBy("run").agg(F.avg("s").alias("silhouette"))
 
 
 def mean_and_deviation(runs: DataFrame) -> DataFrame:

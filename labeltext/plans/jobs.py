@@ -148,13 +148,12 @@ def cluster_corpus(
     matrix = features.blocked(weights)
     lsa = features.fit_lsa(matrix, dims)
     points = features.lsa_vectors(matrix, lsa, rows).join(rows.select("doc_id", "label"), "doc_id")
-    points = points.checkpoint()
-    scores, clustered, model = cluster.kmeans_runs(points, k, runs, sample_size=sample_size)
+    points = features.as_array(points).checkpoint()
+    scores, clustered, centers = cluster.kmeans_runs(points, k, runs, sample_size=sample_size)
     summary = cluster.summarise_runs(scores).toArrow()
     spark = rows.sparkSession
     clusters = clustered.select("doc_id", "label", "cluster")
     components = cluster.term_components(lsa)
-    centers = model.clusterCenters()
     return {
         "scores": spark.createDataFrame(summary),
         "clusters": clusters.select("doc_id", "cluster"),
