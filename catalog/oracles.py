@@ -295,6 +295,20 @@ ORACLES: dict[str, str] = {
     "lsa_components": f"""WITH {WEIGHTS}, t AS (SELECT count(DISTINCT term) AS n FROM weights)
         SELECT CAST(i AS INT) AS i, 1.0::DOUBLE AS square, true AS within
         FROM t, range(100) r(i) WHERE i < greatest(1, least(100, n - 1))""",
+    "normal_products": f"""WITH {WEIGHTS},
+        v AS (SELECT DISTINCT term, length(term)::DOUBLE AS a, ascii(term) / 128.0::DOUBLE AS b FROM weights),
+        image AS (SELECT doc_id, sum(weight * a) AS y0, sum(weight * b) AS y1, sum(weight) AS y2
+                  FROM weights JOIN v USING (term) GROUP BY doc_id)
+        SELECT term, round(sum(weight * y0), 9) AS p0, round(sum(weight * y1), 9) AS p1, round(sum(weight * y2), 9) AS p2
+        FROM weights JOIN image USING (doc_id) GROUP BY term""",
+    "lsa_cross_products": f"""WITH {WEIGHTS},
+        squares AS (SELECT term, sum(weight * weight) AS s FROM weights GROUP BY term),
+        dims AS (SELECT greatest(1, least(100, count(*) - 1)) AS n FROM squares),
+        single AS (SELECT round(sum(s), 6) AS s FROM (
+          SELECT s, row_number() OVER (ORDER BY s DESC) AS r FROM squares), dims WHERE r <= n)
+        SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS product,
+               s AS single_terms, true AS holds
+        FROM range(100) a(i), range(100) b(j), dims, single WHERE i < n AND j <= i""",
     "kmeans_clusters": "SELECT doc_id, true AS known_cluster FROM documents",
     "lloyd_clusters": f"WITH {_lloyd(3)} SELECT id, label, cluster FROM nearest",
     "lloyd_scores": f"""WITH {_lloyd(3)},
