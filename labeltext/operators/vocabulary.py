@@ -5,12 +5,17 @@ A vocabulary is ``(token, token_id)``: padding 0, unknown 1, mask 2, words from
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labeltext.fixed_values import FIRST_WORD_ID, MASK, MASK_ID, PAD, PAD_ID, UNK, UNK_ID
 from labeltext.functions.text import pad_ids
 from labeltext.operators.scale import is_small, join_counted, with_row_index, with_running_total
+from labeltext.session import ensure_checkpoint_dir
 
 SPECIAL_IDS = {PAD: PAD_ID, UNK: UNK_ID, MASK: MASK_ID}
 BROADCAST_WORDS = 1_000_000
@@ -45,20 +50,44 @@ def longest(rows: DataFrame, sequence: str) -> DataFrame:
 
 
 def encode(rows: DataFrame, vocabulary: DataFrame, sequence: str, ids: str = "ids") -> DataFrame:
-    """``rows`` (unique ``doc_id``) with ``ids``: the id of each word of
-    ``sequence``, unknown words as id 1.
+    """``rows`` with ``ids``: the id of each word of ``sequence``, unknown words as id 1.
 
-    The vocabulary is broadcast when a bounded read finds it small. Otherwise
-    each distinct word is looked up once and ``join_counted`` spreads the result,
-    so that neither frequent words nor unknown ones make a hot key.
+    A vocabulary that a bounded read finds small goes to the tasks, which look up the
+    distinct words of a batch in it, so rows stay where they are. Otherwise words meet
+    the vocabulary by joins, for which ``doc_id`` must be unique.
     """
+    ensure_checkpoint_dir(rows.sparkSession)
+    vocabulary = vocabulary.select("token", "token_id").checkpoint()
+    if is_small(vocabulary, BROADCAST_WORDS, "token"):
+        return rows.withColumn(ids, _lookup(vocabulary)(F.col(sequence)))
+    return _joined(rows, vocabulary, sequence, ids)
+
+
+def _lookup(vocabulary: DataFrame) -> Callable[[Column], Column]:
+    """Ids of an array of words, by a table that is known to be small."""
+    table = vocabulary.toArrow()
+    shared = vocabulary.sparkSession.sparkContext.broadcast((table.column("token").to_pylist(), table.column("token_id").to_pylist()))
+    ready: dict[str, int] = {}  # built once per Python worker
+
+    @F.arrow_udf("array<int>")
+    def look_up(words: pa.Array) -> pa.Array:
+        if not ready:
+            ready.update(zip(*shared.value, strict=True))
+        codes = words.flatten().dictionary_encode(null_encoding="encode")
+        known = pa.array([ready.get(w, UNK_ID) for w in codes.dictionary.to_pylist()], pa.int32())
+        at = np.append(0, np.cumsum(words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(at), known.take(codes.indices))
+
+    return look_up
+
+
+def _joined(rows: DataFrame, vocabulary: DataFrame, sequence: str, ids: str) -> DataFrame:
+    """``encode`` by joins: each distinct word is looked up once and ``join_counted``
+    spreads the result, so that neither frequent nor unknown words make a hot key."""
     carried = [c for c in rows.columns if c != sequence]
     words = rows.select(*carried, F.posexplode(sequence).alias("pos", "token"))
-    if is_small(vocabulary, BROADCAST_WORDS, "token"):
-        found = words.join(F.broadcast(vocabulary), "token", "left")
-    else:
-        asked = words.groupBy("token").agg(F.count("*").alias("n"))
-        found = join_counted(words, asked.join(vocabulary, "token", "left"), ["token"], "n")
+    asked = words.groupBy("token").agg(F.count("*").alias("n"))
+    found = join_counted(words, asked.join(vocabulary, "token", "left"), ["token"], "n")
     token_id = F.coalesce("token_id", F.lit(UNK_ID)).alias("token_id")
     # The row's other columns ride along with its first word, so that one
     # grouping by document gives the whole row back; the words are its own.

@@ -204,14 +204,20 @@ def test_repeated_token_of_a_word_list(spark):
     assert found == {"<pad>": 0, "<unk>": 1, "<mask>": 2, "a": 3, "b": 503, "c": 504}
 
 
-def test_encode_keeps_other_columns_and_wordless_rows(spark):
+def test_encode_keeps_other_columns_and_wordless_rows(spark, monkeypatch):
     rows = [(1, "x", ["a", "z", "a"]), (2, None, []), (3, "y", None)]
     frame = spark.createDataFrame(rows, "doc_id int, extra string, words array<string>")
     vocabulary = vocab.build_vocabulary(spark.createDataFrame([("a", 0)], "token string, at int"), "at")
+    want = [(1, "x", ["a", "z", "a"], [3, 1, 3]), (2, None, [], []), (3, "y", None, [])]
     encoded = vocab.encode(frame, vocabulary, "words")
-    assert sorted(map(tuple, encoded.collect()), key=str) == [
-        (1, "x", ["a", "z", "a"], [3, 1, 3]), (2, None, [], []), (3, "y", None, [])
-    ]
-    # One grouping gives the rows back: no join of the result with its own input.
+    assert sorted(map(tuple, encoded.collect()), key=str) == want
+    # A small vocabulary is looked up in the list: rows are neither shuffled nor regrouped.
     plan = encoded._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Aggregate [doc_id") == 1
+    assert "Aggregate" not in plan and "Join" not in plan and "Generate" not in plan
+    odd = spark.createDataFrame([(1, ["a", None, "b"]), (1, ["a"])], "doc_id int, words array<string>")
+    assert [r.ids for r in vocab.encode(odd, vocabulary, "words").collect()] == [[3, 1, 1], [3]]
+    monkeypatch.setattr(vocab, "BROADCAST_WORDS", 0)
+    joined = vocab.encode(frame, vocabulary, "words")
+    assert sorted(map(tuple, joined.collect()), key=str) == want
+    # One grouping gives the rows back: no join of the result with its own input.
+    assert joined._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [doc_id") == 1
