@@ -84,3 +84,23 @@ def test_too_many_centroids_are_refused(spark):
     assert cluster.runs_of(starts, 640).centers[0].shape == (10, 8)
     with pytest.raises(ValueError, match="centroids"):
         cluster.runs_of(starts, 639)
+
+
+def test_ball_index_is_exact_and_prunes(spark):
+    """100,000 centroids, many of them equal, in one block and in several."""
+    rng = np.random.default_rng(6)
+    means = rng.normal(size=(300, 4)) * 20
+    centers = means[rng.integers(0, 300, 100_000)] + rng.normal(size=(100_000, 4)).round(1)
+    points = np.concatenate([centers[rng.integers(0, 100_000, 60)], means[:60] + rng.normal(size=(60, 4)), rng.normal(size=(5, 4)) * 500])
+    want = np.array([((p - centers) ** 2).sum(axis=1).argmin() for p in points])
+    index = cluster.BallIndex.of([cluster.Row(cluster=i, center=c) for i, c in enumerate(centers.tolist())])
+    _, place, looked = index.nearest(points)
+    assert (place == want).all() and looked < 0.1 * len(points) * len(centers)
+    rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)] + [(999, None)], "id int, features array<double>")
+    numbers = spark.createDataFrame([(i, c) for i, c in enumerate(centers.tolist())], "cluster int, center array<double>").repartition(3)
+    for block in (cluster.BLOCK_BYTES, 2 << 20):
+        out = cluster.nearest_centroid(rows, numbers, block)
+        got = {r.id: r.cluster for r in out.collect()}
+        assert got.pop(999) is None and [got[i] for i in range(len(points))] == want.tolist()
+        assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    assert {r.cluster for r in cluster.nearest_centroid(rows, numbers.limit(0)).collect()} == {None}
