@@ -275,6 +275,10 @@ centers0 AS (SELECT CAST(id % 5 AS INT) AS run, label AS cluster, d, avg(x) AS c
     return ",\n".join(steps[:-1])
 
 
+PART_SUPPLIER = """cells AS (SELECT l_partkey AS i, l_suppkey AS j, count(*)::DOUBLE AS xy FROM lineitem GROUP BY ALL),
+lefts AS (SELECT i, sum(xy) AS x FROM cells GROUP BY i),
+rights AS (SELECT j, sum(xy) AS y FROM cells GROUP BY j),
+t AS (SELECT sum(xy) AS t FROM cells)"""
 SPLIT3 = "CASE doc_id % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END"
 # The given network: 64 inputs, 5 rectified units, 1 sigmoid.
 NETWORK = """points AS (SELECT vec_id AS id, (label % 2)::DOUBLE AS y, CAST(embedding AS DOUBLE[]) AS f FROM embeddings),
@@ -508,6 +512,17 @@ ORACLES: dict[str, str] = {
     + " FROM news",
     "label_correlation": f"WITH {NEWS}, {LABELINGS} "
     + " UNION ALL ".join(_pair_corr(i, j) for i in range(4) for j in range(4)),
+    "sparse_one_hot": """WITH n AS (
+          SELECT l_partkey, row_number() OVER (ORDER BY l_partkey) - 1 AS index, count(*) OVER () AS size
+          FROM (SELECT DISTINCT l_partkey FROM lineitem))
+        SELECT l_orderkey, l_linenumber, index, size FROM lineitem JOIN n USING (l_partkey)""",
+    "sparse_correlation": f"""WITH {PART_SUPPLIER}
+        SELECT i, j, round((t * xy - x * y) / sqrt((t * x - x * x) * (t * y - y * y)), 9) AS corr
+        FROM cells JOIN lefts USING (i) JOIN rights USING (j), t""",
+    "asked_correlation": f"""WITH {PART_SUPPLIER},
+        pairs AS (SELECT p_partkey AS i, p_partkey % 12 AS j FROM part)
+        SELECT i, j, round((t * coalesce(xy, 0) - x * y) / sqrt((t * x - x * x) * (t * y - y * y)), 9) AS corr
+        FROM pairs LEFT JOIN lefts USING (i) LEFT JOIN rights USING (j) LEFT JOIN cells USING (i, j), t""",
     "relabel": "SELECT doc_id, text, toxic AS label FROM documents JOIN labels USING (doc_id)",
     "nearest_centroid": f"WITH {NEAREST} SELECT id, label, cluster FROM nearest",
     "contingency": f"WITH {NEAREST} SELECT label, cluster, count(*) AS n FROM nearest GROUP BY ALL",

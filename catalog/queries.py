@@ -298,6 +298,27 @@ def label_correlation(spark, folder):
     return rounded(metrics.label_correlation(tables.two_labelings(spark, folder), "a", "b"), "corr")
 
 
+@query
+def sparse_one_hot(spark, folder):
+    rows = tables.table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return metrics.one_hot_sparse(rows, "l_partkey").select("l_orderkey", "l_linenumber", "one_hot.index", "one_hot.size")
+
+
+@query
+def sparse_correlation(spark, folder):
+    """Parts with suppliers: labelings of any number of labels, for the pairs that occur."""
+    found = metrics.correlations(tables.table(spark, folder, "lineitem"), "l_partkey", "l_suppkey")
+    return rounded(found.present(), "corr")
+
+
+@query
+def asked_correlation(spark, folder):
+    """The same for one asked pair per part, whether it occurs or not."""
+    found = metrics.correlations(tables.table(spark, folder, "lineitem"), "l_partkey", "l_suppkey")
+    pairs = tables.table(spark, folder, "part").select(F.col("p_partkey").alias("i"), (F.col("p_partkey") % 12).alias("j"))
+    return rounded(found.of(pairs), "corr")
+
+
 @query
 def relabel(spark, folder):
     labels = tables.table(spark, folder, "labels").select("doc_id", F.col("toxic").alias("label"))

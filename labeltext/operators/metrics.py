@@ -7,13 +7,14 @@ map-side pre-aggregation, and the formulas run on the counts.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labeltext.operators.scale import with_row_index
+from labeltext.operators.scale import join_counted, with_row_index
 from labeltext.session import ensure_checkpoint_dir
 
 LOG_FLOOR = -100.0
@@ -71,6 +72,64 @@ def label_correlation(
     return wide.select(name(a, "i").alias("key1"), name(b, "j").alias("key2"), corr.alias("corr"))
 
 
+def one_hot_sparse(rows: DataFrame, label: str, name: str = "one_hot") -> DataFrame:
+    """``rows`` with ``name``, a struct of ``size`` and ``index``: where the 1 of a one-hot
+    vector over the labels that occur stands, in their order. A null label has no index.
+    The number of labels has no bound; rows meet their numbers without a hot key."""
+    counts = rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("_n"))
+    numbered = with_row_index(counts, [label], "_index")
+    size = F.coalesce(numbered.agg(F.count("*")).scalar(), F.lit(0))
+    known = join_counted(rows, numbered, [label], "_n")
+    both = known.unionByName(rows.where(F.col(label).isNull()), allowMissingColumns=True)
+    return both.select(*rows.columns, F.struct(size.alias("size"), F.col("_index").alias("index")).alias(name))
+
+
+@dataclass
+class Correlations:
+    """What all correlations of two labelings' one-hot columns follow from: ``cells(i, j,
+    xy)`` that have rows, ``left(i, x, n)`` and ``right(j, y, n)`` with the rows and cells of
+    each label, and the number of rows."""
+
+    cells: DataFrame
+    left: DataFrame
+    right: DataFrame
+    total: float
+
+    def _with_values(self, known: DataFrame) -> DataFrame:
+        total, x, y = F.lit(self.total), F.col("x"), F.col("y")
+        spread = F.sqrt((total * x - x * x) * (total * y - y * y))
+        return known.select("i", "j", F.try_divide(total * F.col("xy") - x * y, spread).alias("corr"))
+
+    def present(self) -> DataFrame:
+        """``(i, j, corr)`` of every pair of labels that some row has."""
+        with_left = join_counted(self.cells, self.left, ["i"], "n").drop("n")
+        return self._with_values(join_counted(with_left, self.right, ["j"], "n"))
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        """``(i, j, corr)`` of the ``pairs(i, j)`` asked for, also those that no row has; null
+        for labels that do not occur or are constant."""
+        known = pairs.select("i", "j").join(self.left.select("i", "x"), "i", "left").join(self.right.select("j", "y"), "j", "left")
+        return self._with_values(known.join(self.cells, ["i", "j"], "left").na.fill(0.0, ["xy"]))
+
+
+def correlations(rows: DataFrame, a: str, b: str) -> Correlations:
+    """The counts behind all correlations of ``a`` with ``b``, whatever the number of labels:
+    work and size follow the pairs that occur, not the grid of all pairs. Rows without a
+    label count in the total only, as in ``label_correlation``'s one-hot columns."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    every = contingency(rows, a, b).checkpoint()
+    total = float(every.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    number = F.col("n").cast("double")
+    cells = every.select(F.col(a).alias("i"), F.col(b).alias("j"), number.alias("xy"))
+
+    def margin(level: str, value: str) -> DataFrame:
+        whole = F.sum("xy").alias(value)
+        held = F.count(F.when(F.col("i").isNotNull() & F.col("j").isNotNull(), 1)).alias("n")
+        return cells.where(F.col(level).isNotNull()).groupBy(level).agg(whole, held).checkpoint()
+
+    return Correlations(cells.where("i IS NOT NULL AND j IS NOT NULL"), margin("i", "x"), margin("j", "y"), total)
+
+
 def cluster_scores(
     rows: DataFrame, label: str = "label", cluster: str = "cluster", by: Sequence[str] = ()
 ) -> DataFrame:

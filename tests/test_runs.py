@@ -104,3 +104,32 @@ def test_ball_index_is_exact_and_prunes(spark):
         assert got.pop(999) is None and [got[i] for i in range(len(points))] == want.tolist()
         assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 20_000
     assert {r.cluster for r in cluster.nearest_centroid(rows, numbers.limit(0)).collect()} == {None}
+
+
+def test_correlations_of_many_levels(spark):
+    """20,000 labels on either side, one of them a third of all rows; the grid has 4e8 pairs."""
+    rows = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 20_000).alias("a"), ((F.col("id") * 7) % 20_011).alias("b")
+    )
+    found = metrics.correlations(rows, "a", "b")
+    assert found.present().count() == rows.distinct().count()
+    a, b = (np.array([r[0] for r in rows.orderBy("b", "a").select(c).collect()]) for c in "ab")
+    asked = [(0, 7), (1, 7), (14, 98), (0, 0), (5, 123), (10**6, 1)]
+    got = {(r.i, r.j): r["corr"] for r in found.of(spark.createDataFrame(asked, "i long, j long")).collect()}
+    for i, j in asked[:-1]:
+        assert got[i, j] == pytest.approx(np.corrcoef(a == i, b == j)[0, 1], abs=1e-12)
+    assert got[10**6, 1] is None
+    hot = metrics.one_hot_sparse(rows.unionByName(spark.createDataFrame([(None, 1)], "a long, b long")), "a")
+    levels = sorted(set(a.tolist()))
+    assert {(r.a, r.one_hot["index"]) for r in hot.collect()} == {*zip(levels, range(len(levels))), (None, None)}
+    assert hot.select("one_hot.size").distinct().count() == 1
+
+
+def test_sparse_and_dense_correlations_agree(spark):
+    pairs = [(i % 4, i % 3) for i in range(50)] + [(None, 1), (2, None), (None, None)]
+    rows = spark.createDataFrame(pairs, "a int, b int")
+    dense = {(r.key1, r.key2): r["corr"] for r in metrics.label_correlation(rows, "a", "b").collect()}
+    grid = spark.createDataFrame([(i, j) for i in range(4) for j in range(4)], "i int, j int")
+    for r in metrics.correlations(rows, "a", "b").of(grid).collect():
+        assert (r["corr"] is None) == (dense[f"a_{r.i}", f"b_{r.j}"] is None)
+        assert r["corr"] is None or r["corr"] == pytest.approx(dense[f"a_{r.i}", f"b_{r.j}"])
