@@ -47,7 +47,10 @@ def train_classifier(
     validation cross-entropy; the best epoch's model is kept, and saved to
     ``path`` if given. Persist both inputs.
     """
-    width = train.select("features").first().features.size
+    first = train.select("features").first()
+    if first is None:
+        raise ValueError("no training rows")
+    width = first.features.size
     best, history, weights = None, [], None
     for epoch in range(epochs):
         trainer = MultilayerPerceptronClassifier(
