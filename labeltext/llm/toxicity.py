@@ -2,9 +2,11 @@
 
 The kernel of two words counts their common subsequences of three letters, each
 weighed down by the gaps it spans, normalised and raised to a power (products of
-kernels are kernels). Marks inside a word are left out, and gapped and padded
-spellings of an insult keep most of its subsequences, so they stay near it. The kernel of two sentences is the sum over
-their word pairs; with landmark words that is a vector of sums, whitened by the
+kernels are kernels). Marks inside a word are left out and spelled-out words are put
+together, so both count in full. A spelling with added letters keeps an insult's
+subsequences, but the normalised kernel falls so far that most of them score below
+one half (shares in the README). The kernel of two sentences is the sum over their
+word pairs; with landmark words that is a vector of sums, whitened by the
 landmarks' own kernel matrix (Nyström), and a linear support vector machine on
 these vectors scores a sentence. A text has the score of its worst sentence.
 
