@@ -133,7 +133,7 @@ def test_weights_with_few_broadcast_keys_are_the_same(counts, weights, monkeypat
 def test_lsa_is_the_truncated_svd(weights, dense):
     matrix, docs, terms = dense
     _, s, vt = np.linalg.svd(matrix, full_matrices=False)
-    model = features.fit_lsa(weights, 6, iterations=40)
+    model = features.fit_lsa(weights, 6, iterations=12, oversample=40)
     assert model.singular_values == pytest.approx(s[:6], rel=1e-6)
     components = components_of(model, terms)
     assert np.allclose(components.T @ components, np.eye(6), atol=1e-8)
