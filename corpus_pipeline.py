@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labeltext.llm import chunks, exact, quality, queries, simhash
-from labeltext.llm.common import documents, small_batches
+from labeltext.llm.common import checkpointed, documents, fresh, small_batches
 from labeltext.session import ensure_checkpoint_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -28,14 +28,20 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every SimHash group (3 words, 3 bits) the document with the smallest id.
+    """Of every SimHash group (3 words, 3 bits) the row with the smallest id.
 
-    Documents without an id are not told apart and stay. Only the ids of those
-    that go meet the texts; their side is broadcast when Spark finds it small.
+    Rows are told apart by a number of their own, fixed by a checkpoint: of rows
+    with the same smallest id the first stays, rows without an id come after all
+    others, and a row never goes because of another one that shares its id. Only the
+    numbers of the rows that go meet the texts; their side is broadcast when Spark
+    finds it small.
     """
-    near = simhash.near_duplicates(docs, words=3, distance=3)
-    gone = near.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    number, key = fresh(docs, "_number"), fresh(docs, "_key")
+    rows = checkpointed(docs.withColumn(number, F.monotonically_increasing_id()))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col(number).alias("number"))
+    near = simhash.near_duplicates(rows.select(order.alias(key), "text"), words=3, distance=3, key=key)
+    gone = near.where(F.col(f"{key}.number") != F.col("component_id.number")).select(F.col(f"{key}.number").alias(number))
+    return rows.join(gone, number, "left_anti").select(*docs.columns)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
