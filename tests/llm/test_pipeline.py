@@ -1,12 +1,13 @@
 """The pipeline's stages, each against brute force on what the one before kept."""
 
+import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from test_llm import brute_exact, brute_simhash, lay_out
+from test_llm import brute_exact, brute_simhash, lay_out, words
 
 NAMES = ["quality", "exact_dedup", "simhash", "substring_dedup", "pattern_packing"]
 
@@ -72,3 +73,30 @@ def test_stages_take_odd_and_empty_tables(spark, small, kept):
         for _, stage in corpus_pipeline.STAGES:
             done = stage(spark, docs, small)
             assert done.count() <= 3
+
+
+def test_simhash_stage_removes_rows_not_ids(spark, small, kept):
+    """Rows with repeated ids or none: each group keeps the row with the least id, and no other row goes."""
+    rng = random.Random(11)
+    alpha, beta, gamma, delta = (words(rng, 60) for _ in range(4))
+    texts = [
+        (1, alpha), (2, alpha.upper()), (2, beta), (3, gamma), (3, gamma), (None, delta), (None, delta),
+        (None, beta), (5, None), (4, ""), (None, " "), (6, words(rng, 60)), (None, words(rng, 60)),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", i, 7) for i, t in texts], "doc_id long, text string, lang string, number long, _number int")
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_stage(spark, docs.repartition(3), small).collect())
+    unique = [texts[11], texts[12]]
+    assert got == Counter([(1, alpha), (2, beta), (3, gamma), (None, delta), (4, ""), *unique])
+    pairs = [(d, t) for d, t in texts if d is not None]
+    assert len({g for _, _, g in brute_simhash(pairs)}) == 5
+
+
+def test_simhash_stage_with_half_the_ids_missing(spark, small):
+    """As many rows stay as there are groups, whatever their ids."""
+    rng = random.Random(12)
+    rows = [(None if i % 2 else i // 10, f"{words(rng, 1)} {words(rng, 40)}") for i in range(200)]
+    rows += [(i, rows[j][1]) for j, i in enumerate([None, 3, 900, None, 7] * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept_rows = corpus_pipeline.near_stage(spark, docs, small).collect()
+    groups = Counter(g for _, _, g in brute_simhash([(n, t) for n, (_, t) in enumerate(rows)]).elements())
+    assert len(kept_rows) == len(groups)
