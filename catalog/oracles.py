@@ -573,3 +573,5 @@ ORACLES: dict[str, str] = {
 }
 
 ORACLES["complement_corpus"] = ORACLES["complement_text"]
+ORACLES["complement_bucketed"] = ORACLES["complement_text"]
+ORACLES["style_rows_bucketed"] = ORACLES["style_rows"]

@@ -631,3 +631,20 @@ def complement_corpus(spark, folder):
     words = _words(spark, folder)
     lines = jobs.rewritten(words, _lift(words), "complement", rows=tables.news(spark, folder))
     return lines.select("doc_id", "label", "line")
+
+
+@query
+def complement_bucketed(spark, folder):
+    """``complement_text`` on a corpus bucketed by id: keywords travel, texts stay."""
+    rows = tables.bucketed_news(spark, folder)
+    words = kept(lift.document_words(rows))
+    return rewrite.complement_lines(rows, _ranked(words))
+
+
+@query
+def style_rows_bucketed(spark, folder):
+    """``style_rows`` on a corpus bucketed by id."""
+    rows = tables.bucketed_news(spark, folder)
+    words = kept(lift.document_words(rows, by=["split"], skeleton=True))
+    lines = jobs.rewritten(words, _lift(words, ["split"]), "mask", by=["split"])
+    return jobs.style_rows(rows, lines)

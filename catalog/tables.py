@@ -5,11 +5,15 @@ A split, topic or class is assigned to every row; no row is left out.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labeltext.operators.scale import spread
+from labeltext.session import ensure_checkpoint_dir
 from labeltext.sources.readers import load_corpus
+from labeltext.sources.writers import write_bucketed_corpus
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,6 +39,13 @@ def news(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def bucketed_news(spark: SparkSession, folder: str) -> DataFrame:
+    """``news`` written once by ``doc_id``, so that joins by it leave the texts in place."""
+    name = f"news_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return write_bucketed_corpus(news(spark, folder), f"{ensure_checkpoint_dir(spark)}/{name}", name, buckets)
+
+
 def sentiment(spark: SparkSession, folder: str) -> DataFrame:
     """Two-class corpus: the quality label."""
     labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))

@@ -15,6 +15,9 @@ RELATION_SCHEMA = (
     "id bigint, token array<string>, h struct<name:string>, t struct<name:string>, relation string"
 )
 
+# Metadata key of ``doc_id`` in the files of a bucketed corpus.
+BUCKETS = "buckets"
+
 
 def load_corpus(
     spark: SparkSession,
@@ -34,6 +37,21 @@ def load_corpus(
     return corpus if split is None else corpus.where(F.col("split") == split)
 
 
+def load_bucketed_corpus(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A corpus of ``write_bucketed_corpus``, for a session that does not know it yet:
+    registers the files as ``table`` with the buckets they were written in."""
+    schema = spark.read.parquet(path).schema
+    buckets = schema["doc_id"].metadata.get(BUCKETS) if "doc_id" in schema.names else None
+    if buckets is None:
+        raise ValueError(f"{path} holds no corpus bucketed by doc_id")
+    quoted = path.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(
+        f"CREATE TABLE {table} ({schema.toDDL()}) USING parquet "
+        f"CLUSTERED BY (doc_id) INTO {int(buckets)} BUCKETS LOCATION '{quoted}'"
+    )
+    return spark.table(table)
+
+
 def load_configs(
     spark: SparkSession, path: str, configs: list[str] = BENCHMARK_CONFIGS, **kwargs
 ) -> dict[str, DataFrame]:

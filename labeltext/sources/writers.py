@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from labeltext.functions.line_patterns import single_line_pair
 from labeltext.functions.text import clean_line
 from labeltext.session import ensure_checkpoint_dir
+from labeltext.sources.readers import BUCKETS
 
 
 def _laid_out(rows: DataFrame, folders: list[str]) -> DataFrame:
@@ -30,6 +31,22 @@ def write_line_pairs(lines: DataFrame, path: str) -> None:
         rows.select(kind, "split").write.mode("overwrite").partitionBy("split").text(f"{path}/{kind}")
 
 
+def write_bucketed_corpus(corpus: DataFrame, path: str, table: str, buckets: int) -> DataFrame:
+    """``corpus`` as Parquet under ``path``, dealt by ``doc_id`` into ``buckets`` files,
+    and registered as ``table``, which comes back.
+
+    This is the one shuffle of its texts: joins by ``doc_id`` with that table (the
+    complement, style rows, splits and labels of documents) exchange the other side
+    only. The number of buckets is kept with the files, in the metadata of
+    ``doc_id``. Neither ``path`` nor ``table`` may hold anything yet. Rows without an
+    id, which no join by id returns, share a bucket.
+    """
+    key = F.col("doc_id").alias("doc_id", metadata={BUCKETS: buckets})
+    dealt = corpus.withColumn("doc_id", key).repartition(buckets, "doc_id")
+    dealt.write.format("parquet").option("path", path).bucketBy(buckets, "doc_id").saveAsTable(table)
+    return corpus.sparkSession.table(table)
+
+
 def write_line_table(lines: DataFrame, path: str) -> None:
     """``(id, source, target, split)`` as Parquet by split: one pass, no ordering
     shuffle. The form to prefer where text files are not required."""
