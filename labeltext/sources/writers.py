@@ -6,7 +6,9 @@ split; line j of ``part-i`` in one belongs to line j of ``part-i`` in the other.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labeltext.functions.line_patterns import single_line_pair
@@ -23,12 +25,51 @@ def _laid_out(rows: DataFrame, folders: list[str]) -> DataFrame:
     return rows.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
 
 
-def write_line_pairs(lines: DataFrame, path: str) -> None:
+def _write_in_place(rows: DataFrame, path: str, kinds: dict[str, Column], folders: list[str]) -> None:
+    """A checkpoint and a write per kind, without a rename: for object stores, where
+    renaming a folder copies it."""
+    laid_out = _laid_out(rows, folders)
+    for kind, line in kinds.items():
+        lines = laid_out.select(line.alias(kind), *folders)
+        lines.write.mode("overwrite").partitionBy(*folders).text(f"{path}/{kind}")
+
+
+def _write_aligned(rows: DataFrame, path: str, kinds: dict[str, Column], folders: list[str]) -> None:
+    """One job that writes the lines of all ``kinds`` as ``path/kind/folder=..``.
+
+    Rows are range-partitioned by folder and id, and each becomes a line per kind in
+    its task, which writes all of them in one order: line j of ``part-i`` is of the
+    same row in each kind, also where ids repeat, a task fails or an executor goes.
+    The result stands beside the old one until it is complete, then takes its place.
+    """
+    spark = rows.sparkSession
+    laid_out = rows.repartitionByRange(*folders, "id").withColumn("_at", F.monotonically_increasing_id())
+    lines = F.array(*[F.struct(F.lit(kind).alias("kind"), line.alias("line")) for kind, line in kinds.items()])
+    fanned = laid_out.select(*folders, "id", "_at", F.explode(lines).alias("_line"))
+    staging = f"{path}/_aligned-{uuid.uuid4()}"
+    (
+        fanned.select("_line.kind", *folders, "id", "_at", "_line.line")
+        .sortWithinPartitions("kind", *folders, "id", "_at")
+        .select("line", "kind", *folders)
+        .write.partitionBy("kind", *folders)
+        .text(staging)
+    )
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    files = folder(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for kind in kinds:
+        new, old = folder(f"{staging}/kind={kind}"), folder(f"{path}/{kind}")
+        files.delete(old, True)
+        if not (files.rename(new, old) if files.exists(new) else files.mkdirs(old)):
+            raise OSError(f"{path}/{kind} could not be put in place; its lines are in {staging}")
+    files.delete(folder(staging), True)
+
+
+def write_line_pairs(lines: DataFrame, path: str, in_place: bool = False) -> None:
     """``(id, source, target, split)`` as aligned text under ``path/source`` and
-    ``path/target``, replacing what is there."""
-    rows = _laid_out(lines.select("id", "split", "source", "target"), ["split"])
-    for kind in ("source", "target"):
-        rows.select(kind, "split").write.mode("overwrite").partitionBy("split").text(f"{path}/{kind}")
+    ``path/target``, replacing what is there; ``in_place`` renames nothing."""
+    kinds = {kind: F.col(kind) for kind in ("source", "target")}
+    write = _write_in_place if in_place else _write_aligned
+    write(lines.select("id", "split", *kinds), path, kinds, ["split"])
 
 
 def write_bucketed_corpus(corpus: DataFrame, path: str, table: str, buckets: int) -> DataFrame:
@@ -66,7 +107,7 @@ def write_topic_lines(lines: DataFrame, path: str) -> None:
     )
 
 
-def write_style_rows(rows: DataFrame, path: str, split_files: bool = True) -> None:
+def write_style_rows(rows: DataFrame, path: str, split_files: bool = True, in_place: bool = False) -> None:
     """``(id, label_name, split, source, target)`` as text by class and split:
     aligned ``source`` and ``target`` folders, or one ``pair`` folder with both on
     a line. Classes without rows get no folder."""
@@ -76,14 +117,7 @@ def write_style_rows(rows: DataFrame, path: str, split_files: bool = True) -> No
     )
     if split_files:
         kinds = {"source": F.col("source"), "target": F.col("target")}
-        lines = _laid_out(lines, folders)
     else:
         kinds = {"pair": single_line_pair(F.col("source"), F.col("target"))}
-        lines = lines.repartitionByRange(*folders, "id").sortWithinPartitions(*folders, "id")
-    for kind, line in kinds.items():
-        (
-            lines.select(line.alias(kind), *folders)
-            .write.mode("overwrite")
-            .partitionBy(*folders)
-            .text(f"{path}/{kind}")
-        )
+    write = _write_in_place if in_place else _write_aligned
+    write(lines, path, kinds, folders)
