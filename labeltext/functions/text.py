@@ -64,6 +64,17 @@ def split_words(text: Column, keep: Callable[[Column], Column] | None = None) ->
     return let(pieces, lambda p: F.slice(p, 2, F.size(p)))
 
 
+def leading_pieces(text: Column, n: int) -> Column:
+    """The text up to the end of its first ``n`` blank-separated pieces.
+
+    Every word lies inside a piece and every piece holds one at least, so the first
+    ``n`` words of a text are those of this part of it.
+    """
+    white = WORD_STEPS[0][1].removesuffix("+")
+    pattern = rf"^(?:{white}*+[^{white[1:]}++){{0,{n}}}+"
+    return F.regexp_extract(text, pattern, 0)
+
+
 def lower_words(words: Column, first: int | None = None) -> Column:
     """Lower-cased words; with ``first``, only that many leading ones."""
     if first is not None:

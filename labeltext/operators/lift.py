@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labeltext.functions.lookups import let
-from labeltext.functions.text import lower_words, split_words
+from labeltext.functions.text import leading_pieces, lower_words, split_words
 from labeltext.operators.corpus import drop_unlabelled
 from labeltext.operators.scale import join_counted, small_table
 
@@ -38,8 +38,13 @@ def document_words(
     ``words``. It is what the mask rewrite needs of the text, so the text itself
     stays behind.
     """
+    text = F.col("text")
     cased = drop_unlabelled(corpus).select(
-        *by, "doc_id", "label", split_words(F.col("text")).alias("cased")
+        *by,
+        "doc_id",
+        "label",
+        # Without a skeleton the rest of the text need not be split.
+        (split_words(text) if skeleton else let(leading_pieces(text, max_len), lambda t: split_words(t))).alias("cased"),
     )
     rows = cased.withColumn("words", lower_words(F.col("cased"), max_len))
     if skeleton:
