@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labeltext.functions.lookups import let
-from labeltext.functions.text import leading_pieces, lower_words, split_words
+from labeltext.functions.text import leading_pieces, lower_words, search_among, split_words
 from labeltext.operators.corpus import drop_unlabelled
 from labeltext.operators.scale import join_counted, small_table
 
@@ -48,11 +48,9 @@ def document_words(
     )
     rows = cased.withColumn("words", lower_words(F.col("cased"), max_len))
     if skeleton:
-        kept = let(
+        kept = search_among(
             F.col("words"),
-            lambda words: F.filter(
-                "cased", lambda w: w.isin(",", ".") | F.array_contains(words, F.lower(w))
-            ),
+            lambda among: F.filter("cased", lambda w: w.isin(",", ".") | among(F.lower(w))),
         )
         rows = rows.withColumn("skeleton", kept)
     return rows.drop("cased")

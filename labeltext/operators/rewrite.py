@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labeltext.fixed_values import KEYWORD_SEPARATOR, MASK
-from labeltext.functions.lookups import let
-from labeltext.functions.text import split_words
+from labeltext.functions.text import search_among, split_words
 from labeltext.operators.corpus import drop_unlabelled
 from labeltext.operators.lift import THRESHOLD, keywords_above
 
@@ -28,11 +27,9 @@ def keyword_line(keywords: Column, separator: str = KEYWORD_SEPARATOR) -> Column
 def mask_line(cased: Column, keywords: Column, mask: str = MASK) -> Column:
     """Skeleton of a text: its keywords and its commas and full stops, each after
     a mask; punctuation joins its mask unless it comes first."""
-    kept = let(
+    kept = search_among(
         keywords,
-        lambda found: F.filter(
-            cased, lambda w: F.array_contains(found, F.lower(w)) | w.isin(*PUNCTUATION)
-        ),
+        lambda among: F.filter(cased, lambda w: among(F.lower(w)) | w.isin(*PUNCTUATION)),
     )
     marked = F.transform(
         kept,
@@ -45,10 +42,7 @@ def mask_line(cased: Column, keywords: Column, mask: str = MASK) -> Column:
 
 def complement_text(cased: Column, keywords: Column) -> Column:
     """The text's words that are no keywords."""
-    rest = let(
-        keywords,
-        lambda found: F.filter(cased, lambda w: ~F.array_contains(found, F.lower(w))),
-    )
+    rest = search_among(keywords, lambda among: F.filter(cased, lambda w: ~among(F.lower(w))))
     return F.array_join(rest, " ")
 
 
