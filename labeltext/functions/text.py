@@ -40,6 +40,11 @@ def blank_spaced(text: Column) -> Column:
     return F.regexp_replace(F.concat(F.lit(" "), text, F.lit(" ")), pattern, replacement)
 
 
+def text_pieces(text: Column) -> Column:
+    """The pieces of a text between white space, which are those of its ``blank_spaced`` form."""
+    return F.array_remove(F.split(text, WORD_STEPS[0][1], -1), "")
+
+
 def _contains_any(text: Column, parts: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in parts])
 

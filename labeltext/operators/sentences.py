@@ -13,20 +13,21 @@ Unsupervised, after Kiss & Strunk (2006), from counts over the whole corpus:
 
 A stop stays with its word if the word is an abbreviation, is not the last of its text
 and no capitalised opener follows; every other final stop is a word of its own. Both
-counts are one aggregation each over exploded words, combined map-side. The two tables
-go into the plan when a bounded read finds them small; otherwise words with a stop
+counts come from one aggregation over exploded pieces, combined map-side; all tests of
+a piece are made once per different piece and neighbour. The two tables go into the plan when a bounded read finds them small; otherwise words with a stop
 meet them by shuffle, and only the kept places come back to the texts.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labeltext.functions.lookups import let
-from labeltext.functions.text import KEPT_STOP, blank_spaced, split_words
+from labeltext.functions.text import KEPT_STOP, blank_spaced, split_words, text_pieces
 from labeltext.operators.scale import join_counted
 from labeltext.session import ensure_checkpoint_dir
 
@@ -38,10 +39,12 @@ LEAST_STARTER = 30.0
 # Tables of at most this many types go into the plan.
 PLAN_TYPES = 10_000
 
-EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+CORE = r"(?s)[\p{L}\p{N}](?:.*[\p{L}\p{N}])?"
 FINAL_STOP = r"[\p{L}\p{N}]\.([^\p{L}\p{N}.][^\p{L}\p{N}]*)?$"
 FINAL_MARK = r"([!?]|\.\.|…)[^\p{L}\p{N}]*$"
 CANDIDATE = r"^\p{L}+(\.\p{L}+)*$"
+# A piece without any of these ends no sentence: it matches neither pattern above.
+END_MARKS = [".", "!", "?", "…"]
 KEEP_PATTERN = r"\.([^\p{L}\p{N}.]*)$"
 
 
@@ -55,16 +58,16 @@ class SentenceModel:
 
 def pieces(spaced: Column) -> Column:
     """The blank-separated pieces of a ``blank_spaced`` text."""
-    return F.filter(F.split(spaced, " +", -1), lambda p: p != "")
+    return F.array_remove(F.split(spaced, " +", -1), "")
 
 
 def core(piece: Column) -> Column:
     """A piece without the signs at its edges."""
-    return F.regexp_replace(piece, EDGES, "")
+    return F.regexp_extract(piece, CORE, 0)
 
 
 def has_stop(piece: Column) -> Column:
-    return F.rlike(piece, F.lit(FINAL_STOP))
+    return F.contains(piece, F.lit(".")) & F.rlike(piece, F.lit(FINAL_STOP))
 
 
 def is_capital(word: Column) -> Column:
@@ -72,30 +75,47 @@ def is_capital(word: Column) -> Column:
 
 
 def _words(corpus: DataFrame) -> DataFrame:
-    """``(type, stop, capital, lower, prev, prev_stop, prev_mark)``: a row per word. ``prev``
-    is null for a text's first piece; a piece of signs alone has no type."""
-    def described(p: Column) -> Column:
-        return F.transform(
-            p,
-            lambda x, i: F.struct(
-                core(x).alias("core"), has_stop(x).alias("stop"), F.get(p, i - 1).alias("before")
-            ),
-        )
-
-    rows = corpus.select(F.explode(let(pieces(blank_spaced(F.col("text"))), described)).alias("w"))
-    return rows.select(
-        F.lower("w.core").alias("type"), "w.stop", is_capital(F.col("w.core")).alias("capital"),
-        F.rlike("w.core", F.lit(r"^\p{Ll}")).alias("lower"), F.lower(core(F.col("w.before"))).alias("prev"),
-        F.coalesce(has_stop(F.col("w.before")), F.lit(False)).alias("prev_stop"),
-        F.coalesce(F.rlike("w.before", F.lit(FINAL_MARK)), F.lit(False)).alias("prev_mark"),
-    ).where("type <> ''")
+    """``(type, stop, capital, lower, prev, prev_stop, prev_mark, n)``: a row per different
+    piece and neighbour before, with its number. ``prev`` is null for a text's first piece
+    and empty after one without ``END_MARKS``; a piece of signs alone has an empty type."""
+    def paired(p: Column) -> Column:
+        return F.arrays_zip(p.alias("piece"), F.concat(F.array(F.lit(None).cast("string")), p).alias("before"))
+
+    rows = corpus.select(F.inline(let(text_pieces(F.col("text")), paired)).alias("piece", "before")).where("piece IS NOT NULL")
+    may_end = reduce(lambda a, b: a | b, [F.contains("before", F.lit(m)) for m in END_MARKS])
+    before = F.when(F.col("before").isNull() | may_end, F.col("before")).otherwise("").alias("before")
+    seen = rows.select("piece", before).groupBy("piece", "before").agg(F.count("*").alias("n"))
+    described = seen.select(core(F.col("piece")).alias("core"), "piece", "before", "n")
+    follows = F.col("before") != ""
+    return described.select(
+        F.lower("core").alias("type"), has_stop(F.col("piece")).alias("stop"), is_capital(F.col("core")).alias("capital"),
+        F.rlike("core", F.lit(r"^\p{Ll}")).alias("lower"),
+        F.when(follows, F.lower(core(F.col("before")))).otherwise(F.col("before")).alias("prev"),
+        F.coalesce(follows & has_stop(F.col("before")), F.lit(False)).alias("prev_stop"),
+        F.coalesce(follows & F.rlike("before", F.lit(FINAL_MARK)), F.lit(False)).alias("prev_mark"), "n",
+    )
 
 
 def stop_counts(corpus: DataFrame) -> DataFrame:
     """``(type, n_stop, n_plain)``: occurrences with and without a final stop."""
-    rows = corpus.select(F.explode(pieces(blank_spaced(F.col("text")))).alias("p"))
-    words = rows.select(F.lower(core(F.col("p"))).alias("type"), has_stop(F.col("p")).cast("long").alias("s"))
-    return words.where("type <> ''").groupBy("type").agg(F.sum("s").alias("n_stop"), F.sum(1 - F.col("s")).alias("n_plain"))
+    pieces_seen = corpus.select(F.explode(text_pieces(F.col("text"))).alias("p")).groupBy("p").agg(F.count("*").alias("n"))
+    words = pieces_seen.select(F.lower(core(F.col("p"))).alias("type"), has_stop(F.col("p")).alias("stop"), "n")
+    return _stop_counts(words)
+
+
+def _stop_counts(words: DataFrame) -> DataFrame:
+    return _typed(words).groupBy("type").agg(_number(F.col("stop")).alias("n_stop"), _number(~F.col("stop")).alias("n_plain"))
+
+
+def _typed(words: DataFrame) -> DataFrame:
+    """The words with a type. Asked together with their number, so that the optimizer asks
+    it of counted pieces and not of every word."""
+    return words.where(F.when(F.col("type") != "", F.col("n")) > 0)
+
+
+def _number(test: Column) -> Column:
+    """Of the words that rows with ``n`` stand for, those that pass a test."""
+    return F.sum(F.when(test, F.col("n")).otherwise(0))
 
 
 def abbreviations(counts: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
@@ -140,14 +160,17 @@ def opener_counts(corpus: DataFrame, known: DataFrame) -> DataFrame:
     """``(type, n, n_start, n_lower, n_inside, n_after_short)``: all occurrences, those at
     the start of a sentence, in lower case, capitalised inside a sentence, and capitalised
     after an abbreviation, which is neither."""
-    words = _marked(_words(corpus), known)
+    return _opener_counts(_words(corpus), known)
+
+
+def _opener_counts(words: DataFrame, known: DataFrame) -> DataFrame:
+    words = _marked(_typed(words), known)
     after_short = F.col("after_short")
     start = (F.col("prev").isNull() | F.col("prev_stop") | F.col("prev_mark")) & ~after_short
-    number = lambda c: F.sum(c.cast("long"))
     return words.groupBy("type").agg(
-        F.count("*").alias("n"), number(start).alias("n_start"), number(F.col("lower")).alias("n_lower"),
-        number(F.col("capital") & ~start & ~after_short).alias("n_inside"),
-        number(F.col("capital") & after_short).alias("n_after_short"),
+        F.sum("n").alias("n"), _number(start).alias("n_start"), _number(F.col("lower")).alias("n_lower"),
+        _number(F.col("capital") & ~start & ~after_short).alias("n_inside"),
+        _number(F.col("capital") & after_short).alias("n_after_short"),
     )
 
 
@@ -174,10 +197,11 @@ def openers(counts: DataFrame, least: float = LEAST_STARTER) -> DataFrame:
 
 
 def fit(corpus: DataFrame) -> SentenceModel:
-    """The abbreviations and openers of ``corpus(text)``, two passes over it."""
+    """The abbreviations and openers of ``corpus(text)``, one pass over it."""
     ensure_checkpoint_dir(corpus.sparkSession)
-    known = abbreviations(stop_counts(corpus).checkpoint()).checkpoint()
-    return SentenceModel(known, openers(opener_counts(corpus, known).checkpoint()).checkpoint())
+    words = _words(corpus).checkpoint()
+    known = abbreviations(_stop_counts(words).checkpoint()).checkpoint()
+    return SentenceModel(known, openers(_opener_counts(words, known).checkpoint()).checkpoint())
 
 
 def small_types(table: DataFrame, most: int | None = None) -> list[str] | None:
