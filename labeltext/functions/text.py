@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from string import ascii_letters, digits
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +24,21 @@ from labeltext.functions.lookups import let
 # stands for a full stop that stays with its word.
 KEPT_STOP = "\x1f"
 
+# Forms of some steps that pass over letters faster and find the same words: what cannot
+# start a match is left by one look at a table, and signs are sought before what precedes
+# them. They use look-around, which RE2 does not have.
+_WHITE, _SIGNS, _STOP, _CLITICS = (WORD_STEPS[i][1] for i in (0, 2, 4, 9))
+FASTER = {
+    _WHITE: (f"(?=[^{ascii_letters}{digits}]){_WHITE}", "  "),
+    _SIGNS: (f"(?=[^ {ascii_letters}{digits}]){_SIGNS}", " $1 "),
+    _STOP: (r"\.(?<=[^.]\.)( |' )", " . $1"),
+    _CLITICS: (f"(?=['nN]){_CLITICS.replace("([^' ])", "(?<=[^' ])")}", " $1 "),
+}
+
+
+def _step(spaced: Column, pattern: str, replacement: str) -> Column:
+    return F.regexp_replace(spaced, *FASTER.get(pattern, (pattern, replacement)))
+
 
 def _spaced(text: Column, *kinds: str, keep: Callable[[Column], Column] | None = None) -> Column:
     spaced = blank_spaced(text)
@@ -30,19 +46,19 @@ def _spaced(text: Column, *kinds: str, keep: Callable[[Column], Column] | None =
         spaced = keep(spaced)
     for kind, pattern, replacement in WORD_STEPS[1:]:
         if kind in kinds:
-            spaced = F.regexp_replace(spaced, pattern, replacement)
+            spaced = _step(spaced, pattern, replacement)
     return spaced
 
 
 def blank_spaced(text: Column) -> Column:
     """The text between blanks, each run of white space as two blanks."""
     _, pattern, replacement = WORD_STEPS[0]
-    return F.regexp_replace(F.concat(F.lit(" "), text, F.lit(" ")), pattern, replacement)
+    return _step(F.concat(F.lit(" "), text, F.lit(" ")), pattern, replacement)
 
 
 def text_pieces(text: Column) -> Column:
     """The pieces of a text between white space, which are those of its ``blank_spaced`` form."""
-    return F.array_remove(F.split(text, WORD_STEPS[0][1], -1), "")
+    return F.array_remove(F.split(text, FASTER[_WHITE][0], -1), "")
 
 
 def _contains_any(text: Column, parts: list[str]) -> Column:
