@@ -513,12 +513,12 @@ def class_term_centroids(weights: DataFrame, labels: DataFrame) -> DataFrame:
     """``(cluster, term, weight)``: mean TF-IDF weight of each term per label.
 
     ``weights`` is the long form; ``labels`` is ``(doc_id, label)`` of every
-    document, since a document without the term counts as zero.
+    document, since a document without the term counts as zero. Labels are the far
+    smaller side, so they are hashed and the weights of a partition are not sorted.
     """
     sizes = small_table(labels.groupBy("label").agg(F.count("*").alias("n_docs")))
-    sums = (
-        weights.join(labels, "doc_id").groupBy("label", "term").agg(F.sum("weight").alias("total"))
-    )
+    labelled = weights.join(labels.hint("shuffle_hash"), "doc_id")
+    sums = labelled.groupBy("label", "term").agg(F.sum("weight").alias("total"))
     return sums.join(sizes, "label").select(
         F.col("label").alias("cluster"), "term", (F.col("total") / F.col("n_docs")).alias("weight")
     )
