@@ -173,14 +173,12 @@ def classifier_rows(
     ``split = 'train'`` only. The result is computed once and checkpointed."""
     ensure_checkpoint_dir(rows.sparkSession)
     named = rows.select("doc_id", "split", F.col("label").cast("double").alias("label"), "text")
-    terms = features.document_terms(named)
-    counts = named.drop("text").join(features.term_counts(terms), "doc_id").checkpoint()
-    train = counts.where(F.col("split") == "train")
-    table = features.term_table(train, min_df, max_df)
-    weights = features.tfidf_weights(counts.select("doc_id", "counts"), terms=table).checkpoint()
-    fitted = weights.join(train.select("doc_id"), "doc_id", "left_semi").checkpoint()
-    vectors = features.lsa_vectors(weights, features.fit_lsa(fitted, dims), counts)
-    return counts.select("doc_id", "split", "label").join(vectors, "doc_id").checkpoint()
+    # A row for each pair of rows of an id, for the terms as for the labels.
+    pairs = named.drop("text").join(features.document_terms(named), "doc_id")
+    matrix = features.term_matrix(pairs.select("doc_id", "terms", (F.col("split") == "train").alias("fit")), min_df, max_df)
+    labelled = named.drop("text").join(named.select("doc_id"), "doc_id").checkpoint()
+    vectors = features.lsa_vectors(matrix, features.fit_lsa(matrix.fitted(), dims), labelled)
+    return labelled.join(vectors, "doc_id").checkpoint()
 
 
 def train_and_evaluate(

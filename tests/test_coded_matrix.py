@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from catalog import queries
 from labeltext.operators import coded, features
+from labeltext.plans import jobs
 from pyspark.sql import functions as F
 
 RNG = np.random.default_rng(5)
@@ -95,6 +96,14 @@ def test_no_weight_becomes_a_row_on_disk(spark, small):
     assert not [x for x in new if x.startswith("coded-")]
 
 
+def test_the_classifier_keeps_repeated_rows(spark):
+    rows = [(i, "train" if i % 3 else "test", f"alpha beta gamma{i % 2} w{i % 4}x", i % 2) for i in range(40)] * 2
+    frame = spark.createDataFrame(rows, "doc_id int, split string, text string, label int")
+    done = jobs.classifier_rows(frame, dims=2, min_df=2, max_df=1.0)
+    # Rows of an id meet each other, once for the counts and once for the vectors.
+    assert done.count() == 40 * 2**4 and {len(r.features) for r in done.collect()} == {2}
+
+
 def test_settings_come_back(spark):
     before = [spark.conf.get(k) for k in (coded.BATCH_ROWS, coded.DELETE_SHUFFLES)]
     with pytest.raises(ValueError), coded.working(spark, 7):
