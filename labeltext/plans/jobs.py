@@ -142,10 +142,7 @@ def cluster_corpus(
     clusters as labels) and ``correlation`` of labels with clusters.
     """
     ensure_checkpoint_dir(rows.sparkSession)
-    counts = features.term_counts(features.document_terms(rows))
-    with reused(counts):
-        weights = features.tfidf_weights(counts, min_df, max_df).checkpoint()
-    matrix = features.blocked(weights)
+    matrix = features.term_matrix(features.document_terms(rows), min_df, max_df)
     lsa = features.fit_lsa(matrix, dims)
     points = features.lsa_vectors(matrix, lsa, rows).join(rows.select("doc_id", "label"), "doc_id")
     points = features.as_array(points).checkpoint()
